@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+#: Labelled rows of each class, at most, that the classifiers are fitted on.
+QUALITY_SAMPLE, TOXIC_SAMPLE = 8_000, 6_000
 
 
 def query(f: Query) -> Query:
@@ -30,3 +32,29 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tariffmill.llm.bpe import transcode
 
     return transcode(table(spark, sf_dir, "documents"), tokenizer(), ("n_tokens", "ids_sha256", "decoded_sha256"))
+
+
+@query
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from tariffmill.llm import quality
+    from tariffmill.llm.labelled import in_fold, sample_labels
+
+    docs = table(spark, sf_dir, "documents")
+    sample = sample_labels(table(spark, sf_dir, "labels"), "quality", in_fold(3, 0, 2), QUALITY_SAMPLE)
+    scored = quality.score(docs, quality.train(docs, sample))
+    return scored.select("doc_id", in_fold(3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from tariffmill.llm import toxicity
+    from tariffmill.llm.labelled import in_fold, sample_labels
+
+    docs = table(spark, sf_dir, "documents")
+    sample = sample_labels(table(spark, sf_dir, "labels"), "toxic", in_fold(4, 0, 1, 3), TOXIC_SAMPLE)
+    scored = toxicity.score(docs, toxicity.train(docs, sample))
+    return scored.select("doc_id", in_fold(4, 2).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
