@@ -58,3 +58,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     sample = sample_labels(table(spark, sf_dir, "labels"), "toxic", in_fold(4, 0, 1, 3), TOXIC_SAMPLE)
     scored = toxicity.score(docs, toxicity.train(docs, sample))
     return scored.select("doc_id", in_fold(4, 2).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+@query
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tariffmill.llm import pii
+
+    return pii.digests(pii.find(table(spark, sf_dir, "documents")))
