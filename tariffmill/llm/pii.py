@@ -6,7 +6,7 @@ the first folds homoglyphs (look-alike letters, compatibility forms, digits of o
 odd dashes and spaces) and drops zero-width characters; the second turns spelled digits, "plus",
 and at/dot disguises into the characters they stand for.  Identifiers found in the result are
 mapped back to source characters.  A match counts as added only if something in it was
-disguised and no base span of its kind overlaps it; base spans always stay.
+disguised and it lies within no base span of its kind; base spans always stay.
 
 Defined results: null counts as empty, which has no spans; offsets are code points, ends
 exclusive; texts of any length are searched whole in time linear in their length; repeated
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
-_DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)+")
+_DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)*+")  # also single numbers, so that none is read twice
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
@@ -46,14 +46,14 @@ _SPELLED_PART = re.compile(rf"plus[ -]+|{_WORD}", re.I)
 _DOT_SIGN = r"(?: ?[\[({<] ?(?:dot|\.) ?[\])}>] ?| dot )"
 _SIGNS = re.compile(rf"(?<=[A-Za-z0-9._%+-])(?:(?P<at> ?[\[({{<] ?(?:at|@) ?[\])}}>] ?| at (?=[A-Za-z0-9-]{{1,63}}(?:\.[A-Za-z0-9-]{{1,63}})*{_DOT_SIGN}[A-Za-z0-9]))|(?P<dot>{_DOT_SIGN}))(?=[A-Za-z0-9])", re.I)
 #: Substrings (lower case) without which the second transducer has nothing to do.
-_HINTS = ("dot", "(at", "[at", "{at", "<at", "( at", "[ at", "{ at", "< at", "(@", "[@", "{@", "<@", "plus", *_DIGITS)
+_HINTS = ("dot", *(o + x for o in "[({<" for x in ("at", " at", "@", " @", ".", " .")), "plus ", "plus-", *(w + s for w in _DIGITS for s in " ,-"))
 
 Span = tuple[int, int, str]
 
 
 @lru_cache(maxsize=1)
-def folding() -> tuple[dict[int, str], re.Pattern]:
-    """What homoglyphs fold to (the empty string for zero-width ones), and a pattern that finds them."""
+def folding() -> dict[str, str]:
+    """What homoglyphs fold to; the empty string for zero-width ones."""
     table = {ord(p[0]): p[1] for p in _LOOKS.split()} | dict.fromkeys(map(ord, _ZERO_WIDTH), "") | dict.fromkeys(map(ord, _DASHES), "-") | dict.fromkeys(map(ord, _STOPS), ".")
     for code in (*range(0xA0, 0x3100), *range(0xFE00, 0x10000), *range(0x10000, 0x1FC00)):
         c = chr(code)
@@ -63,7 +63,7 @@ def folding() -> tuple[dict[int, str], re.Pattern]:
         flat = str(digit) if digit is not None else unicodedata.normalize("NFKC", c)
         if len(flat) == 1 and flat.isascii() and flat.isprintable():
             table[code] = flat
-    return table, re.compile("[" + "".join(map(chr, sorted(table))) + "]")
+    return {chr(k): v for k, v in table.items()}
 
 
 def _luhn(digits: str) -> bool:
@@ -134,8 +134,8 @@ class _Tape:
 
 def disguised(text: str, base: list[Span]) -> list[Span]:
     """Identifiers that show only after deobfuscation, as source spans."""
-    table, odd = folding()
-    folds = not text.isascii() and odd.search(text)
+    table = folding()
+    folds = not text.isascii() and not table.keys().isdisjoint(set(text))
     low = text.lower()
     if not folds and not any(h in low for h in _HINTS):
         return []
@@ -143,7 +143,7 @@ def disguised(text: str, base: list[Span]) -> list[Span]:
         return []
     tape = _Tape(text)
     if folds:
-        tape.rewrite([(m.start(), m.end(), table[ord(m[0])]) for m in odd.finditer(text)])
+        tape.rewrite([(i, i + 1, table[c]) for i, c in enumerate(text) if c in table])
     edits = []
     for m in _SPELLED.finditer(tape.text):
         last = None
@@ -159,7 +159,7 @@ def disguised(text: str, base: list[Span]) -> list[Span]:
     for a, b, kind in match(tape.text):
         if any(tape.hidden[a:b]):
             s, e = tape.start[a], tape.end[b - 1]
-            if not any(k == kind and x < e and s < y for x, y, k in base):
+            if not any(k == kind and x <= s and e <= y for x, y, k in base):
                 out.append((s, e, kind))
     return out
 
