@@ -65,3 +65,10 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tariffmill.llm import pii
 
     return pii.digests(pii.find(table(spark, sf_dir, "documents")))
+
+
+@query
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tariffmill.llm.neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), words=2)
