@@ -72,3 +72,19 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tariffmill.llm.neardup import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"), words=2)
+
+
+@query
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tariffmill.llm.packing import pack, token_pieces
+
+    return pack(token_pieces(table(spark, sf_dir, "documents"), tokenizer(), 2048, 0, with_ids=False), 2048)
+
+
+@query
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tariffmill.llm import warc
+
+    pages = table(spark, sf_dir, "pages")
+    folder = warc.own_folder(pages, "warc")
+    return warc.read_all(warc.write(pages, folder), folder, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
