@@ -175,7 +175,13 @@ def train(docs: DataFrame, sample: DataFrame, most_features: int = 4096, least_d
     keys = np.sort(np.array([r["key"] for r in found.orderBy(F.desc("gain"), "key").limit(most_features).collect()], np.int64).view(np.uint64))
     if not len(keys):
         return Model(keys, np.zeros(0), -9.0)
-    rows = [(np.array(r["sentences"], np.int64), np.array(r["features"], np.int64), r["n"], r["label"]) for r in _bags(labelled, keys).collect()]
+    # Arrow columns, not rows of Python lists: a few bytes per feature occurrence on the driver
+    table = _bags(labelled, keys).toArrow().combine_chunks()
+    sentences, features = (table[c].combine_chunks() if table.num_rows else pa.array([], pa.list_(pa.int32())) for c in ("sentences", "features"))
+    ends = np.array(sentences.offsets)
+    flat = np.array(sentences.flatten()), np.array(features.flatten())
+    ends = ends - ends[0]
+    rows = [(flat[0][a:b], flat[1][a:b], n, label) for a, b, n, label in zip(ends, ends[1:], table["n"].to_pylist(), table["label"].to_pylist())]
     rows.sort(key=lambda r: (r[3], r[2], r[0].tobytes(), r[1].tobytes()))
     return fit(rows, keys)
 
