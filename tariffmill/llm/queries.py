@@ -88,3 +88,21 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     folder = warc.own_folder(pages, "warc")
     return warc.read_all(warc.write(pages, folder), folder, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from tariffmill.llm.ann import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, 10)
+
+
+@query
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from tariffmill.llm.pivots import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, 5)
