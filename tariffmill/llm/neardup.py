@@ -230,3 +230,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, values:
     out = materialise(out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))), "near_duplicates")
     drop_tables(spark, found, sets, links, *done)
     return out
+
+
+def keep_one(docs: DataFrame, **options: int) -> DataFrame:
+    """The rows, with all their columns, of each component's smallest doc_id."""
+    gone = near_duplicates(docs, **options).where("not kept").select("doc_id").distinct()
+    few = gone.count() <= BROADCAST_ROWS
+    return docs.join(F.broadcast(gone) if few else gone, docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")

@@ -175,3 +175,14 @@ def score(docs: DataFrame, model: Gam, key: str = "doc_id") -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(model.score(features(block).astype(np.float32).astype(np.float64)))], [key, "score"])
 
     return rows.mapInArrow(run, f"`{key}` {kind}, score double")
+
+
+def keep(docs: DataFrame, model: Gam, threshold: float = 0.5) -> DataFrame:
+    """The rows, with all their columns, that score at least ``threshold``."""
+    where = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, block in in_blocks(batches, where):
+            yield part.filter(pa.array(model.score(features(block).astype(np.float32).astype(np.float64)) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -7,11 +7,13 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from tariffmill.llm.chat import ORACLE as CHAT_ORACLE
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 #: Labelled rows of each class, at most, that the classifiers are fitted on.
-QUALITY_SAMPLE, TOXIC_SAMPLE = 8_000, 6_000
+QUALITY_SAMPLE, TOXIC_SAMPLE = 8_000, 2_500
 
 
 def query(f: Query) -> Query:
@@ -106,3 +108,13 @@ def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tariffmill.llm.pivots import top_k
 
     return top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, 5)
+
+
+@query
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tariffmill.llm.chat import rotate
+
+    return rotate(table(spark, sf_dir, "conversations"))
+
+
+ORACLES["op5_chat"] = CHAT_ORACLE

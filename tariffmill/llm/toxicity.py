@@ -213,3 +213,14 @@ def offending(docs: DataFrame, model: Model, threshold: float = THRESHOLD, key:
             yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owner[hit])), pa.array(number, pa.int32()), pa.array(p[hit]), pa.array(words, pa.string())], [key, "sentence", "score", "words"])
 
     return rows.mapInArrow(run, f"`{key}` {kind}, sentence int, score double, words string")
+
+
+def keep(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows, with all their columns, that score below ``threshold``."""
+    where = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, block in in_blocks(batches, where, lower=True):
+            yield part.filter(pa.array(model.score(block) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
