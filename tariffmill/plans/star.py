@@ -100,9 +100,9 @@ def nested(rows: DataFrame) -> DataFrame:
     return rows.select(pack("service", "service_id", "service_name", "category"), pack("clinic", "clinic_id", "clinic_name"), pack("branch", "branch_id", "city"), pack("price", "price", "currency", "observed_at"))
 
 
-def price_stats(rows: DataFrame, *by: str) -> DataFrame:
-    """min, max, mean to cents (ties to even) and count; empty input gives a row of nulls and 0 without ``by``."""
-    return rows.groupBy(*by).agg(F.min("price").alias("min_price"), F.max("price").alias("max_price"), half_even_mean(F.sum("price"), F.count("price")).alias("average_price"), F.count("*").alias("count"))
+def price_stats(rows: DataFrame, *by: str, more: tuple[Column, ...] = ()) -> DataFrame:
+    """min, max, mean to cents (ties to even) and count, and ``more`` aggregates in the same pass; empty input gives a row of nulls and 0 without ``by``."""
+    return rows.groupBy(*by).agg(F.min("price").alias("min_price"), F.max("price").alias("max_price"), half_even_mean(F.sum("price"), F.count("price")).alias("average_price"), F.count("*").alias("count"), *more)
 
 
 def categories(star: Star) -> DataFrame:

@@ -105,9 +105,7 @@ PAGE_COLUMNS = ("clinic_id", "service_id", "currency", "price", "observed_at", "
 @query(f"WITH {STAR} SELECT category, {STATS}, sum(CASE WHEN date_diff('day', observed_at, {NOW_TEXT}) <= 30 THEN 1 ELSE 0 END)::BIGINT AS fresh FROM star WHERE is_available AND service_name LIKE '%ring%' GROUP BY category")
 def compare_prices(spark: SparkSession, d: str) -> DataFrame:
     rows = S.with_freshness(S.filtered(star(spark, d), q="ring"), now())
-    stats = S.price_stats(rows, "category")
-    fresh = rows.groupBy("category").agg(F.count_if(F.col("freshness") == "fresh").alias("fresh"))
-    return money(stats.join(fresh, "category"))
+    return money(S.price_stats(rows, "category", more=(F.count_if(F.col("freshness") == "fresh").alias("fresh"),)))
 
 
 @query(f"WITH {STAR} SELECT {PAGE} FROM star WHERE is_available AND (service_name LIKE '%bolt%' OR lower(canonical_name) LIKE '%bolt%' OR lower(category) LIKE '%bolt%' OR lower(clinic_name) LIKE '%bolt%') AND lower(city) LIKE '%nation_3%' ORDER BY star.price, clinic_name, clinic_id, service_id, currency LIMIT 50")
