@@ -10,9 +10,9 @@ Steps.  (1) Each text gives its set's size, a 128-bit digest and the values; doc
 sets form classes, and only each class's smallest doc_id goes on.  (2) Within buckets of equal
 keys, small ones give all pairs, larger ones pairs with their first member; candidates whose
 sizes alone rule a link out are dropped, the others confirmed on their full sets.  (3) Large
-buckets that hold members not yet known to be connected give pairs with another member, and
-finally every pair of members that aren't: no candidate is capped away.  (4) Components of all
-links, by star contraction in the shared folder.
+buckets that still hold members of different components give all pairs of these that an exact
+prefix filter leaves: no candidate is capped away.  (4) Components of all links, by star
+contraction in the shared folder.
 
 Defined results: null texts and texts without words have an empty set, are linked with nothing
 and are their own component.  Rows that share a doc_id count as one node.  A null doc_id is
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blocks import Block, in_blocks, mix
@@ -39,6 +39,8 @@ _LOWER[65:91] += 32
 SMALL = 8
 #: Rows of ids, at most, that are broadcast to find candidates' texts; more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Rows with whole sets in one batch between the JVM and Python.
+PAIR_ROWS = 200
 
 
 def shingle_sets(block: Block, words: int) -> list[np.ndarray]:
@@ -189,6 +191,37 @@ def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     return chosen.mapInArrow(run, "doc long, shingles binary")
 
 
+def _prefix_pairs(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b) of documents (doc, n, label) with different labels that can be similar enough.
+
+    In one order of all shingles, rarest first, two sets that are must share one of the first
+    n - ceil(n * percent / 100) + 1 of each: so no pair is lost, and what a family of texts has in
+    common, being frequent in it, is left out of most of these prefixes.  What follows the first
+    shared shingle in both bounds what they can share at all: pairs for which even that is too
+    little are left out in the join itself.  Later shared shingles have less behind them, so
+    a pair that the first one rules out is ruled out by all.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                each = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column(3)]
+                rows = pa.array(np.repeat(np.arange(len(each)), [len(x) for x in each]))
+                yield pa.RecordBatch.from_arrays([*(part.column(k).take(rows) for k in range(3)), pa.array(np.concatenate(each))], ["doc", "n", "label", "shingle"])
+
+    spread = docs.join(sets, "doc").select("doc", "n", "label", "shingles").mapInArrow(run, "doc long, n long, label long, shingle long")
+    spread = materialise(spread, "spread", PAIR_ROWS)
+    counted = spread.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")  # a shingle of one document takes a place but makes no pair
+    place = F.row_number().over(Window.partitionBy("doc").orderBy(F.coalesce("df", F.lit(1)), "shingle"))
+    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    head = spread.join(counted, "shingle", "left").withColumn("_at", place).where(F.col("_at") <= prefix).where("df is not null").select("doc", "n", "label", "shingle", (F.col("n") - F.col("_at") + 1).alias("rest"))
+    other = head.select(F.col("doc").alias("b"), F.col("n").alias("b_n"), F.col("label").alias("b_label"), "shingle", F.col("rest").alias("b_rest"))
+    enough = (100 + percent) * F.least("rest", "b_rest") >= percent * (F.col("n") + F.col("b_n"))
+    found = head.join(other, "shingle").where("doc < b and label <> b_label").where(enough)
+    return found.select(F.col("doc").alias("a"), "b").distinct()
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, values: int = 12, rows: int = 3) -> DataFrame:
     """doc_id, n_shingles, component_id and kept (whether it is its component's smallest doc_id), one row per input row."""
     spark = docs.sparkSession
@@ -196,37 +229,27 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, values:
     whole = signed.where("digest is not null and doc_id is not null")
     least = whole.groupBy("digest").agg(F.min("doc_id").alias("class"), F.count("*").alias("copies"))
     classes = materialise(whole.join(least, "digest").where("doc_id = class").select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), "collections", "digest").dropDuplicates(["digest"]), "classes")
-    found = materialise(_scan(_buckets(classes, values)), "candidates")
+    found = materialise(_scan(_buckets(classes, values)), "candidates", 50_000)
     first = found.where("key is null").where(_can_link("a_n", "b_n", percent)).select("a", "b").distinct()
     pairs = materialise(first, "pairs")
     large = found.where("key is not null").select("key", F.col("a").alias("doc"), F.col("a_n").alias("n"))
     open_ids = large.select("doc").distinct()
     ids = pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).unionByName(open_ids).distinct()
     sets = materialise(_sets(docs, ids, words).dropDuplicates(["doc"]), "sets")
-    links = materialise(_confirm(pairs, sets, percent), "links")
-    done = [pairs]
-    for last in (False, True):
-        if large.isEmpty():
-            break
-        # who is known to be connected with whom, one step deep: enough to leave out what can't change the result
-        label = links.select(F.col("b").alias("doc"), "a").unionByName(links.select(F.col("a").alias("doc"), "a")).groupBy("doc").agg(F.min("a").alias("label"))
-        members = large.join(label, "doc", "left").select("key", "doc", "n", F.coalesce("label", "doc").alias("label"))
-        mixed = members.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min_by(F.struct("doc", "n", "label"), F.xxhash64("doc", "key")).alias("one")).where("low < high")
-        if last:
-            some = members.join(mixed.select("key"), "key", "left_semi").withColumn("pivot", F.col("doc"))
-            other = some.select("key", F.col("doc").alias("other"), F.col("n").alias("m"), F.col("label").alias("label2"))
-            new = some.join(other, "key").where("doc < other and label != label2").select(F.col("doc").alias("a"), F.col("other").alias("b"), F.col("n").alias("a_n"), F.col("m").alias("b_n"))
-        else:
-            new = members.join(mixed.select("key", "one"), "key").where("label != one.label").select(F.least("doc", "one.doc").alias("a"), F.greatest("doc", "one.doc").alias("b"), F.col("n").alias("a_n"), F.col("one.n").alias("b_n"))
-        new = new.where(_can_link("a_n", "b_n", percent)).select("a", "b").distinct()
-        for old in done:
-            new = new.join(old, ["a", "b"], "left_anti")
-        new = materialise(new, "pairs")
-        done.append(new)
-        links = materialise(links.unionByName(_confirm(new, sets, percent)), "links")
-    named = components(links)
+    links = materialise(_confirm(pairs, sets, percent), "links", PAIR_ROWS)
+    named, done = components(links), [pairs]
+    if not large.isEmpty():
+        members = large.join(named.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", "n", F.coalesce("component", "doc").alias("label"))
+        mixed = members.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+        open_docs = materialise(members.join(mixed.select("key"), "key", "left_semi").select("doc", "n", "label").distinct(), "open")
+        rest = _prefix_pairs(open_docs, sets, percent).join(pairs, ["a", "b"], "left_anti")
+        done += [open_docs, more := materialise(rest, "pairs")]
+        late = materialise(_confirm(more, sets, percent), "links", PAIR_ROWS)
+        if not late.isEmpty():
+            named = components(links.unionByName(late))
+        done.append(late)
     known = classes.select("digest", "doc").join(named, F.col("doc") == F.col("node"), "left").select("digest", F.coalesce("component", "doc").alias("component"))
-    out = signed.select("doc_id", "n_shingles", "digest").join(known, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    out = signed.select("doc_id", "n_shingles", "digest").join(known, "digest", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
     out = materialise(out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))), "near_duplicates")
     drop_tables(spark, found, sets, links, *done)
     return out
