@@ -41,7 +41,7 @@ _STOPS = "。｡．․"
 _DIGITS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 _WORD = "(?:" + "|".join(_DIGITS) + ")"
 _EDGE = r"(?<![A-Za-z0-9])"
-_SPELLED = re.compile(rf"{_EDGE}(?:plus[ -]+)?{_WORD}(?:(?:, ?| |-){_WORD})+(?![A-Za-z0-9])|{_EDGE}plus[ -]+(?=[0-9])|(?<=dot ){_WORD}(?![A-Za-z0-9])|{_EDGE}{_WORD}(?= dot )", re.I)
+_SPELLED = re.compile(rf"{_EDGE}(?:plus[ -]+)?{_WORD}(?:(?:, ?| |-){_WORD})+(?![A-Za-z0-9])|{_EDGE}plus[ -]+(?:{_WORD}(?![A-Za-z0-9])|(?=[0-9]))|(?<=dot ){_WORD}(?![A-Za-z0-9])|{_EDGE}{_WORD}(?= dot )", re.I)
 _SPELLED_PART = re.compile(rf"plus[ -]+|{_WORD}", re.I)
 _DOT_SIGN = r"(?: ?[\[({<] ?(?:dot|\.) ?[\])}>] ?| dot )"
 _SIGNS = re.compile(rf"(?<=[A-Za-z0-9._%+-])(?:(?P<at> ?[\[({{<] ?(?:at|@) ?[\])}}>] ?| at (?=[A-Za-z0-9-]{{1,63}}(?:\.[A-Za-z0-9-]{{1,63}})*{_DOT_SIGN}[A-Za-z0-9]))|(?P<dot>{_DOT_SIGN}))(?=[A-Za-z0-9])", re.I)
