@@ -134,3 +134,18 @@ def text_report(report: DataFrame) -> str:
 def last_of(runs: DataFrame) -> DataFrame:
     w = Window.partitionBy("source_id").orderBy(F.desc("finished_at"), F.desc("run_id"))
     return runs.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
+def queue_page(queue: DataFrame, services: DataFrame, status: str | None = None, source: str | None = None, limit: int = 20, offset: int = 0) -> DataFrame:
+    """A page of the review queue with service names, latest first; records without a service stay."""
+    rows = queue
+    if status is not None:
+        rows = rows.where(F.col("status") == status)
+    if source is not None:
+        rows = rows.where(F.col("source") == source)
+    return rows.join(services.select("service_id", "service_name"), "service_id", "left").orderBy(F.desc_nulls_last("last_seen_at"), "record_id").offset(offset).limit(limit)
+
+
+def city_counts(branches: DataFrame) -> DataFrame:
+    """Active branches by city, most first."""
+    return branches.where("branch_active").groupBy("city").agg(F.count("*").alias("branch_count")).orderBy(F.desc("branch_count"), "city")

@@ -318,6 +318,13 @@ def items(extracted: DataFrame) -> DataFrame:
     return extracted.select("doc_id", F.inline("items"))
 
 
+def metadata(extracted: DataFrame) -> DataFrame:
+    """Per document its format, error, and numbers of tables, rows, blocks and items."""
+    tables = F.array_distinct(F.transform("cells", lambda c: c["table_index"]))
+    rows = F.array_distinct(F.transform("cells", lambda c: F.struct(c["table_index"], c["row_index"])))
+    return extracted.select("doc_id", "format", "error", F.size(tables).alias("table_count"), F.size(rows).alias("row_count"), F.size("blocks").alias("text_block_count"), F.size("items").alias("item_count"))
+
+
 def row_cells(cells_: DataFrame) -> DataFrame:
     """Rows of tables as arrays of texts in column order; a row has at most MAX_COLUMNS cells."""
     packed = F.transform(F.array_sort(F.collect_list(F.struct("col_index", "text"))), lambda x: x["text"])

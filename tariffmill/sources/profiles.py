@@ -20,6 +20,7 @@ class Layout:
     whose heading has one takes the role, or the first for roles in ``first_wins``.
     """
 
+    # Words of headings.
     name: tuple[str, ...] = ("наименование", "услуг", "исследовани")
     price: tuple[str, ...] = ("цена", "стоимость", "тариф")
     roles: dict[str, tuple[str, ...]] = field(default_factory=lambda: {"code": ("№", "п/п", "номер", "порядковый"), "unit": ("ед.", "единица"), "duration": ("срок", "дни", "день", "время")})
