@@ -16,11 +16,11 @@ _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of BASE and of its inverse modulo 2**64, n at least; kept by size."""
-    bits = max(21, n.bit_length())
+    bits = max(20, n.bit_length())
     if bits not in _powers:
         up, down = np.full(1 << bits, BASE, np.uint64), np.full(1 << bits, pow(BASE, -1, 1 << 64), np.uint64)
         up[0] = down[0] = 1
-        if bits > 21:  # a very long text's table isn't kept
+        if bits > 20:  # a very long text's table isn't kept
             return np.multiply.accumulate(up), np.multiply.accumulate(down)
         _powers[bits] = np.multiply.accumulate(up), np.multiply.accumulate(down)
     return _powers[bits]
@@ -80,7 +80,7 @@ SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def in_blocks(batches: Iterator[pa.RecordBatch], column: int, size: int = 1 << 20, lower: bool = False) -> Iterator[tuple[pa.RecordBatch, Block]]:
+def in_blocks(batches: Iterator[pa.RecordBatch], column: int, size: int = 1 << 19, lower: bool = False) -> Iterator[tuple[pa.RecordBatch, Block]]:
     """Slices of the batches of about ``size`` bytes of text each, one row at least; null texts count as empty."""
     for batch in batches:
         at, held, room = 0, [], size

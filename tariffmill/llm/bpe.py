@@ -40,7 +40,7 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^S\p{L}\p{N}]+|[S]+(?![^
 #: A single space where a text can be cut: no piece crosses the place before it.
 SAFE = regex.compile("[^S](?= [^S])".replace("S", regex.escape(WHITE, special_only=False)))
 #: Distinct pieces that a worker remembers before it starts afresh.
-CACHE = 600_000
+CACHE = 250_000
 NO_MERGE = 1 << 62
 SLOT_BITS = 18
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
@@ -60,7 +60,7 @@ def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 def powers_of(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of BASE and of its inverse modulo 2**64, n at least."""
-    return _powers(max(22, n.bit_length()))
+    return _powers(max(20, n.bit_length()))
 
 
 @lru_cache(maxsize=1)
@@ -326,7 +326,7 @@ class Bpe:
         ids = self.kept[np.repeat(self.kept_at[slot] - (ends - count), count) + np.arange(ends[-1])]
         return ids, np.add.reduceat(count, text_piece)
 
-    def encode_batch(self, texts: list[str | None], block: int = 1 << 20) -> Iterator[np.ndarray]:
+    def encode_batch(self, texts: list[str | None], block: int = 1 << 19) -> Iterator[np.ndarray]:
         """The ids of each text in turn.  Texts are coded in blocks of about ``block`` characters; longer ones are cut where no piece can cross."""
         held: list[tuple[int, str]] = []
         room = block

@@ -183,7 +183,8 @@ def pack(pieces: DataFrame, capacity: int = 2048, length: str = "length") -> Dat
             seen += np.bincount(n, minlength=capacity + 1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(n), part, np.int32)), pa.array(rank)], tagged_schema.names)
 
-    tagged = materialise(pieces.mapInArrow(tag, tagged_schema), "pieces")
+    # two Python steps in one task would keep twice the workers, each with a vocabulary
+    tagged = materialise(materialise(pieces, "pieces").mapInArrow(tag, tagged_schema), "tagged_pieces", 50_000)
     by_part = materialise(tagged.groupBy(F.col(length).alias("_length"), F.col("_part").alias("_of")).agg(F.count("*").alias("_n")), "piece_counts")
     counts = {r["_length"]: r["_n"] for r in by_part.groupBy("_length").agg(F.sum("_n").alias("_n")).collect()}
     keys, sequences, widths, begins, offsets = _runs(plan_packing(counts, capacity))
