@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from tariffmill.llm import oracles
 from tariffmill.llm.chat import ORACLE as CHAT_ORACLE
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -117,4 +118,4 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rotate(table(spark, sf_dir, "conversations"))
 
 
-ORACLES["op5_chat"] = CHAT_ORACLE
+ORACLES |= {"op5_chat": CHAT_ORACLE, "op7_topk": oracles.OP7, "op9_minhash": oracles.OP9, "op10_warc": oracles.OP10}
