@@ -345,6 +345,11 @@ def normalize_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", X.normalize_text(F.substring("text", 1, 200)).alias("normalized"))
 
 
+@query("SELECT doc_id, trim(regexp_replace(replace(lower(text), 'ё', 'е'), '\\s+', ' ', 'g')) AS normalized FROM documents")
+def normalize_whole_text(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", X.normalize_text("text").alias("normalized"))
+
+
 NAME_SQL = "trim(regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), '[–—]', '-', 'g'), '[^\\p{L}\\p{M}\\p{N}_\\s\\-/()]', ' ', 'g'), '\\s+', ' ', 'g'))"
 
 
