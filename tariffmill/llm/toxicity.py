@@ -2,8 +2,10 @@
 
 A text is a bag of sentences (cut after . ! ? and at line feeds).  A sentence's log-odds are a
 base plus the weights of the features it contains: lower-case words and their first 3 to 8
-bytes.  A document's score is the noisy-or of its sentences, 1 - prod(1 - p), so its label alone
-trains the sentences and a high score comes with the sentences that cause it.
+bytes.  Fitting takes a document as the noisy-or of its sentences, 1 - prod(1 - p), so its label
+alone trains the sentences and a high score comes with the sentences that cause it.  The base is
+a leak that any sentence has; scoring divides it out, 1 - prod(min(1, (1 - p) / (1 - p0))), so
+sentences without weight add nothing, however many there are.
 
 Fitting: candidate features are those with the clearest difference in document frequency over
 a bounded labelled sample (counted by the executors); gradient ascent on the noisy-or likelihood
@@ -86,7 +88,8 @@ class Model:
 
     def score(self, block: Block) -> np.ndarray:
         owner, _, p = self.sentences(block)
-        return 1 - np.exp(np.bincount(owner, np.log1p(-np.minimum(p, 1 - 1e-12)), block.texts))
+        leak = np.log1p(-1 / (1 + np.exp(-self.base)))
+        return 1 - np.exp(np.bincount(owner, np.minimum(np.log1p(-np.minimum(p, 1 - 1e-12)) - leak, 0), block.texts))
 
 
 def _count_features(docs: DataFrame) -> DataFrame:
