@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 
 def sample_labels(labels: DataFrame, label: str, train: Column, most: int, key: str = "doc_id") -> DataFrame:
-    """At most ``most`` rows (key, label) of each class among training rows, by hash order of the key.
+    """At most ``most`` rows (key, label, of) of each class among training rows, by hash order of the key.
 
-    Several labels of one key: the largest counts.  Rows with a null key or label take no part.
+    ``of`` is the number of training rows of the class, from which ``class_weights`` restores the
+    shares that the bound changes.  Several labels of one key: the largest counts.  Rows with a null key or label take no part.
     The bound is a parameter of the models' fit only; scoring covers every row.
     """
     rows = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & train).groupBy(key).agg(F.max(label).cast("int").alias("label"))
@@ -17,13 +18,22 @@ def sample_labels(labels: DataFrame, label: str, train: Column, most: int, key:
     parts = []
     for value, n in sorted(counts.items()):
         share = F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int(min(1.0, most / n) * (1 << 30))
-        parts.append(rows.where((F.col("label") == value) & share).limit(most))
-    out = labels.select(key).limit(0).withColumn("label", F.lit(0))
+        parts.append(rows.where((F.col("label") == value) & share).limit(most).withColumn("of", F.lit(n).cast("long")))
+    out = labels.select(key).limit(0).withColumn("label", F.lit(0)).withColumn("of", F.lit(0).cast("long"))
     for part in parts:
         out = out.unionByName(part)
     return out
 
 
+def class_weights(sample: DataFrame) -> tuple[float, float]:
+    """For labels 0 and 1 how many training rows a sampled row stands for; 1 each where ``sample`` has no column ``of``."""
+    out = [1.0, 1.0]
+    if "of" in sample.columns:
+        for r in sample.groupBy("label").agg(F.max("of").alias("of"), F.count("*").alias("n")).collect():
+            out[r["label"]] = r["of"] / r["n"]
+    return out[0], out[1]
+
+
 def in_fold(modulus: int, *remainders: int, key: str = "doc_id") -> Column:
     """True for rows whose crc32 of the key as text has one of these remainders."""
     return (F.crc32(F.col(key).cast("string")) % modulus).isin(*remainders)

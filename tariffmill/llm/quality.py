@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import Block, in_blocks
+from .labelled import class_weights
 
 FEATURES = (
     "log_bytes", "log_words", "word_length", "upper", "digits", "points", "symbols", "bangs", "bars", "non_ascii", "lines_per_word",
@@ -109,9 +110,11 @@ def _leaves(grad: np.ndarray, hess: np.ndarray, leaves: int, least: float) -> np
     return out
 
 
-def fit(x: np.ndarray, y: np.ndarray, bins: int = 32, coarse_bins: int = 8, rounds: int = 150, pair_rounds: int = 40, pairs: int = 8, rate: float = 0.15, leaves: int = 4) -> Gam:
-    """Learn tables from features and 0/1 labels."""
-    share = (y.sum() + 0.5) / (len(y) + 1)
+def fit(x: np.ndarray, y: np.ndarray, bins: int = 32, coarse_bins: int = 8, rounds: int = 150, pair_rounds: int = 40, pairs: int = 8, rate: float = 0.15, leaves: int = 4, weights: tuple[float, float] = (1.0, 1.0)) -> Gam:
+    """Learn tables from features and 0/1 labels; ``weights`` are those of a row of label 0 and of label 1."""
+    weight = np.where(y == 1, weights[1], weights[0])
+    weight = weight / weight.mean() if len(y) else weight  # so that the smoothing is that of as many rows
+    share = ((weight * y).sum() + 0.5) / (len(y) + 1)
     out = Gam(base=float(np.log(share / (1 - share))))
     if len(y) == 0 or y.min() == y.max():
         return out
@@ -124,7 +127,7 @@ def fit(x: np.ndarray, y: np.ndarray, bins: int = 32, coarse_bins: int = 8, roun
         for k in columns:
             p = 1 / (1 + np.exp(-odds))
             n = len(out.tables[k])
-            step = rate * _leaves(np.bincount(binned[k], y - p, n), np.bincount(binned[k], p * (1 - p), n), leaves, 1e-3)
+            step = rate * _leaves(np.bincount(binned[k], weight * (y - p), n), np.bincount(binned[k], weight * p * (1 - p), n), leaves, 1e-3)
             out.tables[k] += step
             odds += step[binned[k]]
     rough = [np.searchsorted(out.coarse[k], x[:, k], side="right") for k in columns]
@@ -132,7 +135,7 @@ def fit(x: np.ndarray, y: np.ndarray, bins: int = 32, coarse_bins: int = 8, roun
 
     def cells(i: int, j: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         p, at = 1 / (1 + np.exp(-odds)), rough[i] * size[j] + rough[j]
-        return np.bincount(at, y - p, size[i] * size[j]), np.bincount(at, p * (1 - p), size[i] * size[j]), at
+        return np.bincount(at, weight * (y - p), size[i] * size[j]), np.bincount(at, weight * p * (1 - p), size[i] * size[j]), at
 
     gains = []
     for i in columns:
@@ -151,7 +154,7 @@ def fit(x: np.ndarray, y: np.ndarray, bins: int = 32, coarse_bins: int = 8, roun
 
 
 def train(docs: DataFrame, sample: DataFrame, **options: int | float) -> Gam:
-    """Fit on the texts of a bounded sample (doc_id, label); only the features of the sample reach the driver."""
+    """Fit on the texts of a bounded sample (doc_id, label), its classes weighed by ``class_weights``; only the features of the sample reach the driver."""
     labelled = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "label")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,7 +165,7 @@ def train(docs: DataFrame, sample: DataFrame, **options: int | float) -> Gam:
     rows = labelled.mapInArrow(run, "x array<float>, label int").toArrow()
     x = np.array(rows["x"].combine_chunks().flatten(), np.float64).reshape(-1, len(FEATURES))
     order = np.lexsort((*x.T, np.array(rows["label"])))  # the order rows arrive in doesn't matter
-    return fit(x[order], np.array(rows["label"], np.float64)[order], **options)
+    return fit(x[order], np.array(rows["label"], np.float64)[order], weights=class_weights(sample), **options)
 
 
 def score(docs: DataFrame, model: Gam, key: str = "doc_id") -> DataFrame:

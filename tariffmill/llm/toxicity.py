@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import ODD, Block, in_blocks
+from .labelled import class_weights
 
 THRESHOLD = 0.3
 CUTS = (None, 3, 4, 5, 6, 7, 8)
@@ -136,8 +137,8 @@ def _bags(docs: DataFrame, keys: np.ndarray) -> DataFrame:
     return docs.mapInArrow(run, "sentences array<int>, features array<int>, n int, label int")
 
 
-def fit(bags: list[tuple[np.ndarray, np.ndarray, int, int]], keys: np.ndarray, steps: int = 400, rate: float = 1.0, ridge: float = 1e-5, base: float = -9.0) -> Model:
-    """Weights by gradient ascent (with per-weight step sizes) on the likelihood of the documents' labels."""
+def fit(bags: list[tuple[np.ndarray, np.ndarray, int, int]], keys: np.ndarray, steps: int = 400, rate: float = 1.0, ridge: float = 1e-5, base: float = -9.0, weights: tuple[float, float] = (1.0, 1.0)) -> Model:
+    """Weights by gradient ascent (with per-weight step sizes) on the likelihood of the documents' labels; ``weights`` are those of a document of label 0 and of label 1."""
     y = np.array([b[3] for b in bags], float)
     if not len(keys) or len(y) == 0 or y.min() == y.max():
         return Model(keys[:0], np.zeros(0), base)
@@ -152,6 +153,8 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray, int, int]], keys: np.ndarray, s
         bare[d] = n - k
         total += k
     doc, sent, feat = (np.concatenate(x).astype(np.int64) for x in (doc, sent, feat))
+    weight = np.where(y == 1, weights[1], weights[0])
+    weight = weight / weight.mean()
     w, b = np.zeros(len(keys)), base
     seen, first, second, b1, b2 = len(y), np.zeros(len(keys) + 1), np.zeros(len(keys) + 1), 0.9, 0.99
     for t in range(1, steps + 1):
@@ -161,7 +164,7 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray, int, int]], keys: np.ndarray, s
         none = np.exp(np.bincount(doc, np.log1p(-p), len(y)) + bare * np.log1p(-p0))
         # of log-likelihood by each sentence's log-odds: p for label 1 weighed by none / (1 - none), -p for label 0
         pull = np.where(y == 1, none / np.maximum(1 - none, 1e-9), -1.0)
-        slope = pull[doc] * p
+        slope = (weight * pull)[doc] * p
         g = np.r_[np.bincount(feat, slope[sent], len(keys)) / seen - ridge * w, 0.0]
         first, second = b1 * first + (1 - b1) * g, b2 * second + (1 - b2) * g * g
         move = rate * (first / (1 - b1**t)) / (np.sqrt(second / (1 - b2**t)) + 1e-8) / np.sqrt(t)
@@ -171,9 +174,10 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray, int, int]], keys: np.ndarray, s
 
 
 def train(docs: DataFrame, sample: DataFrame, most_features: int = 4096, least_docs: int = 4) -> Model:
-    """Fit on the texts of a bounded sample (doc_id, label); counts and reduced documents reach the driver, both bounded by the parameters."""
+    """Fit on the texts of a bounded sample (doc_id, label), its classes weighed by ``class_weights``; counts and reduced documents reach the driver, both bounded by the parameters."""
     labelled = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "label")
-    gain = (F.col("ones") - 0.5) / (F.col("zeros") + 1.0)
+    weights = class_weights(sample)
+    gain = (F.col("ones") - 0.5) / (F.col("zeros") * (weights[0] / weights[1]) + 1.0)
     found = _count_features(labelled).where(F.col("ones") >= least_docs).withColumn("gain", gain * F.sqrt("ones")).where(gain > 1.0)
     keys = np.sort(np.array([r["key"] for r in found.orderBy(F.desc("gain"), "key").limit(most_features).collect()], np.int64).view(np.uint64))
     if not len(keys):
@@ -186,7 +190,7 @@ def train(docs: DataFrame, sample: DataFrame, most_features: int = 4096, least_d
     ends = ends - ends[0]
     rows = [(flat[0][a:b], flat[1][a:b], n, label) for a, b, n, label in zip(ends, ends[1:], table["n"].to_pylist(), table["label"].to_pylist())]
     rows.sort(key=lambda r: (r[3], r[2], r[0].tobytes(), r[1].tobytes()))
-    return fit(rows, keys)
+    return fit(rows, keys, weights=weights)
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
