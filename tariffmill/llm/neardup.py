@@ -49,7 +49,8 @@ def shingle_sets(block: Block, words: int) -> list[np.ndarray]:
     (h,) = block.hashes(None)
     shingle = h.copy()
     for k in range(1, words):
-        shingle[: len(h) - k] = mix(shingle[: len(h) - k] * np.uint64(3) + h[k:]) if len(h) > k else shingle[:0]
+        if len(h) > k:
+            shingle[: len(h) - k] = mix(shingle[: len(h) - k] * np.uint64(3) + h[k:])
     out = []
     for a, b in zip(block.text_words[:-1], block.text_words[1:]):
         if b - a >= words:
