@@ -37,6 +37,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Buckets up to this size give all their pairs at once.
 SMALL = 8
+#: Rows of buckets that are held before they go out, and rows of one bucket before it goes out in stretches.
+HELD, STRETCH = 200_000, 2_000_000
 #: Rows of ids, at most, that are broadcast to find candidates' texts; more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Rows with whole sets in one batch between the JVM and Python.
@@ -113,16 +115,18 @@ def _scan(buckets: DataFrame) -> DataFrame:
         lo, hi = lo[at], hi[at]
         return pa.RecordBatch.from_arrays([pa.nulls(len(lo), pa.int64()), *(pa.array(x) for x in (doc[lo], doc[hi], n[lo], n[hi]))], ["key", "a", "b", "a_n", "b_n"])
 
-    def emit(key: np.ndarray, doc: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def emit(key: np.ndarray, doc: np.ndarray, n: np.ndarray, continued: bool) -> Iterator[pa.RecordBatch]:
+        """``continued``: the first bucket is what remains of a large one, and counts as large whatever its size."""
         start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         size = np.diff(np.r_[start, len(key)])
         lo, hi = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        big = size > SMALL
+        big[0] |= continued
         for z in range(2, SMALL + 1):
-            at = start[size == z]
+            at = start[(size == z) & ~big]
             x, y = np.triu_indices(z, 1)
             lo.append((at[:, None] + x).ravel())
             hi.append((at[:, None] + y).ravel())
-        big = size > SMALL
         inside = np.repeat(big, size)
         first = np.repeat(start, size)
         rest = np.flatnonzero(inside & (np.arange(len(key)) > first))
@@ -136,20 +140,21 @@ def _scan(buckets: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
+        continued = False
         for batch in batches:
             new = [batch.column(k).to_numpy() for k in range(3)]
             held = new if held is None else [np.concatenate(x) for x in zip(held, new)]
-            if len(held[0]) < 200_000:
+            if len(held[0]) < HELD:
                 continue
             last = int(np.searchsorted(held[0], held[0][-1]))
             if last:  # the last bucket may go on
-                yield from emit(*(x[:last] for x in held))
-                held = [x[last:] for x in held]
-            elif len(held[0]) > 2_000_000:  # a huge bucket goes out in stretches, all led by its first member
-                yield from emit(*held)
-                held = [x[:1] for x in held]
+                yield from emit(*(x[:last] for x in held), continued)
+                held, continued = [x[last:] for x in held], False
+            elif len(held[0]) > STRETCH:  # a huge bucket goes out in stretches, all led by its first member
+                yield from emit(*held, continued)
+                held, continued = [x[:1] for x in held], True
         if held is not None and len(held[0]):
-            yield from emit(*held)
+            yield from emit(*held, continued)
 
     sorted_ = buckets.repartition("key").sortWithinPartitions("key", "doc")
     return sorted_.mapInArrow(run, "key long, a long, b long, a_n long, b_n long")
