@@ -15,7 +15,8 @@ prefix filter leaves: no candidate is capped away.  (4) Components of all links,
 contraction in the shared folder.
 
 Defined results: null texts and texts without words have an empty set, are linked with nothing
-and are their own component.  Rows that share a doc_id count as one node.  A null doc_id is
+and are their own component.  Rows that share a doc_id count as one node, also where their texts differ:
+classes are then told apart by their digests, and those of one doc_id are linked.  A null doc_id is
 its own component (null) and kept.  Extra columns are ignored.
 """
 
@@ -185,16 +186,23 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long")
 
 
-def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """(doc, shingles) of the documents named in ``ids`` (doc), one row for each."""
+def _node(by_digest: bool, doc: str) -> Column:
+    """What names a class: its smallest doc_id, or a hash of its digest where a doc_id has different sets."""
+    return F.xxhash64("digest") if by_digest else F.col(doc)
+
+
+def _sets(docs: DataFrame, ids: DataFrame, words: int, by_digest: bool = False) -> DataFrame:
+    """(doc, shingles) of the documents named in ``ids`` (doc), one row for each; doc is the node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, block in in_blocks(batches, 1):
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in shingle_sets(block, words)], pa.binary())], ["doc", "shingles"])
+            sets = [s.tobytes() for s in shingle_sets(block, words)]
+            digests = [hashlib.blake2b(s, digest_size=16).digest() if by_digest else None for s in sets]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digests, pa.binary()), pa.array(sets, pa.binary())], ["doc", "digest", "shingles"])
 
     few = ids.count() <= BROADCAST_ROWS
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(F.broadcast(ids) if few else ids, "doc", "left_semi")
-    return chosen.mapInArrow(run, "doc long, shingles binary")
+    return chosen.mapInArrow(run, "doc long, digest binary, shingles binary").select(_node(by_digest, "doc").alias("doc"), "shingles")
 
 
 def _prefix_pairs(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -234,15 +242,24 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, values:
     signed = materialise(signatures(docs, words, values, rows), "signatures")
     whole = signed.where("digest is not null and doc_id is not null")
     least = whole.groupBy("digest").agg(F.min("doc_id").alias("class"), F.count("*").alias("copies"))
-    classes = materialise(whole.join(least, "digest").where("doc_id = class").select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), "collections", "digest").dropDuplicates(["digest"]), "classes")
+    hashed = signed.where("doc_id is not null").select("doc_id", F.xxhash64("digest").alias("d"))
+    several = materialise(hashed.groupBy("doc_id").agg(F.min("d").alias("low"), F.max("d").alias("high")).where("low < high").select("doc_id"), "several")
+    by_digest = not several.isEmpty()
+    classes = materialise(whole.join(least, "digest").where("doc_id = class").select(_node(by_digest, "doc_id").alias("doc"), F.col("n_shingles").alias("n"), "collections", "digest", "class").dropDuplicates(["digest"]), "classes")
     found = materialise(_scan(_buckets(classes, values)), "candidates", 50_000)
     first = found.where("key is null").where(_can_link("a_n", "b_n", percent)).select("a", "b").distinct()
     pairs = materialise(first, "pairs")
     large = found.where("key is not null").select("key", F.col("a").alias("doc"), F.col("a_n").alias("n"))
     open_ids = large.select("doc").distinct()
     ids = pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).unionByName(open_ids).distinct()
-    sets = materialise(_sets(docs, ids, words).dropDuplicates(["doc"]), "sets")
-    links = materialise(_confirm(pairs, sets, percent), "links", PAIR_ROWS)
+    named_ids = ids.join(classes.select("doc", "class"), "doc").select(F.col("class").alias("doc")).distinct() if by_digest else ids
+    sets = materialise(_sets(docs, named_ids, words, by_digest).dropDuplicates(["doc"]), "sets")
+    confirmed = _confirm(pairs, sets, percent)
+    if by_digest:
+        nodes = whole.join(several, "doc_id", "left_semi").select("doc_id", _node(True, "doc_id").alias("b")).distinct()
+        tied = nodes.join(nodes.groupBy("doc_id").agg(F.min("b").alias("a")), "doc_id").where("a < b").select("a", "b")
+        confirmed = confirmed.unionByName(tied)
+    links = materialise(confirmed, "links", PAIR_ROWS)
     named, done = components(links), [pairs]
     if not large.isEmpty():
         members = large.join(named.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", "n", F.coalesce("component", "doc").alias("label"))
@@ -254,10 +271,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, values:
         if not late.isEmpty():
             named = components(links.unionByName(late))
         done.append(late)
-    known = classes.select("digest", "doc").join(named, F.col("doc") == F.col("node"), "left").select("digest", F.coalesce("component", "doc").alias("component"))
-    out = signed.select("doc_id", "n_shingles", "digest").join(known, "digest", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    known = classes.select("digest", "doc", "class").join(named, F.col("doc") == F.col("node"), "left").select("digest", "class", F.coalesce("component", "doc").alias("component"))
+    if by_digest:
+        known = known.join(known.groupBy("component").agg(F.min("class").alias("least")), "component").select("digest", F.col("least").alias("component"))
+    placed = signed.select("doc_id", "n_shingles", "digest").join(known.select("digest", "component"), "digest", "left")
+    if by_digest:  # a row without words belongs to its doc_id's others
+        others = placed.join(several, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("component").alias("other"))
+        placed = placed.join(others, "doc_id", "left").withColumn("component", F.coalesce("component", "other"))
+    out = placed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
     out = materialise(out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))), "near_duplicates")
-    drop_tables(spark, found, sets, links, *done)
+    drop_tables(spark, found, sets, links, several, *done)
     return out
 
 
