@@ -8,16 +8,19 @@ with r = 3 and m = 12 above 0.9996 at s = 0.8 and 0.99998 at 0.85.
 
 Steps.  (1) Each text gives its set's size, a 128-bit digest and the values; documents of equal
 sets form classes, and only each class's smallest doc_id goes on.  (2) Within buckets of equal
-keys, small ones give all pairs, larger ones pairs with their first member; candidates whose
-sizes alone rule a link out are dropped, the others confirmed on their full sets.  (3) Large
-buckets that still hold members of different components give all pairs of these that an exact
-prefix filter leaves: no candidate is capped away.  (4) Components of all links, by star
-contraction in the shared folder.
+keys, small ones give all pairs, larger ones a star: pairs of their first member with each other
+one.  Pairs of several tables are one candidate; those whose sizes alone rule a link out are
+dropped, the others confirmed on their full sets.  (3) A star whose ends are all in its first
+member's component has nothing left to find.  The members of the others are compared across
+components by an exact prefix filter, so no candidate is capped away.  (4) Components of all
+links, by star contraction in the shared folder.
 
 Defined results: null texts and texts without words have an empty set, are linked with nothing
 and are their own component.  Rows that share a doc_id count as one node, also where their texts differ:
 classes are then told apart by their digests, and those of one doc_id are linked.  A null doc_id is
-its own component (null) and kept.  Extra columns are ignored.
+its own component (null) and kept.  An empty table gives an empty one.  A very long text is hashed
+as a block of its own, and its set is held by one task at a time.  Ties (similarity of exactly
+``percent``) are links.  Extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -106,15 +109,13 @@ def _buckets(classes: DataFrame, values: int) -> DataFrame:
 
 
 def _scan(buckets: DataFrame) -> DataFrame:
-    """Candidates of sorted buckets: rows (a, b, a_n, b_n) without key, and members of large buckets as (key, a, a_n)."""
+    """Candidates of sorted buckets: rows (a, b, a_n, b_n, star), where ``star`` marks pairs with the first member of a large bucket."""
 
-    def pairs(lo: np.ndarray, hi: np.ndarray, doc: np.ndarray, n: np.ndarray) -> pa.RecordBatch | None:
-        a, b = doc[lo], doc[hi]
-        at = np.unique(np.stack([a, b]), axis=1, return_index=True)[1] if len(a) else lo
-        if not len(at):
-            return None
-        lo, hi = lo[at], hi[at]
-        return pa.RecordBatch.from_arrays([pa.nulls(len(lo), pa.int64()), *(pa.array(x) for x in (doc[lo], doc[hi], n[lo], n[hi]))], ["key", "a", "b", "a_n", "b_n"])
+    def pairs(lo: np.ndarray, hi: np.ndarray, doc: np.ndarray, n: np.ndarray, star: bool) -> Iterator[pa.RecordBatch]:
+        if len(lo):
+            at = np.unique(np.stack([doc[lo], doc[hi]]), axis=1, return_index=True)[1]
+            lo, hi = lo[at], hi[at]
+            yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in (doc[lo], doc[hi], n[lo], n[hi], np.full(len(lo), star)))], ["a", "b", "a_n", "b_n", "star"])
 
     def emit(key: np.ndarray, doc: np.ndarray, n: np.ndarray, continued: bool) -> Iterator[pa.RecordBatch]:
         """``continued``: the first bucket is what remains of a large one, and counts as large whatever its size."""
@@ -128,16 +129,10 @@ def _scan(buckets: DataFrame) -> DataFrame:
             x, y = np.triu_indices(z, 1)
             lo.append((at[:, None] + x).ravel())
             hi.append((at[:, None] + y).ravel())
-        inside = np.repeat(big, size)
+        yield from pairs(np.concatenate(lo), np.concatenate(hi), doc, n, False)
         first = np.repeat(start, size)
-        rest = np.flatnonzero(inside & (np.arange(len(key)) > first))
-        lo.append(first[rest])
-        hi.append(rest)
-        if (out := pairs(np.concatenate(lo), np.concatenate(hi), doc, n)) is not None:
-            yield out
-        if inside.any():
-            w = np.flatnonzero(inside)
-            yield pa.RecordBatch.from_arrays([pa.array(key[w]), pa.array(doc[w]), pa.nulls(len(w), pa.int64()), pa.array(n[w]), pa.nulls(len(w), pa.int64())], ["key", "a", "b", "a_n", "b_n"])
+        rest = np.flatnonzero(np.repeat(big, size) & (np.arange(len(key)) > first))
+        yield from pairs(first[rest], rest, doc, n, True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
@@ -158,7 +153,7 @@ def _scan(buckets: DataFrame) -> DataFrame:
             yield from emit(*held, continued)
 
     sorted_ = buckets.repartition("key").sortWithinPartitions("key", "doc")
-    return sorted_.mapInArrow(run, "key long, a long, b long, a_n long, b_n long")
+    return sorted_.mapInArrow(run, "a long, b long, a_n long, b_n long, star boolean")
 
 
 def _can_link(a: str, b: str, percent: int) -> Column:
@@ -167,23 +162,22 @@ def _can_link(a: str, b: str, percent: int) -> Column:
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The links (a, b) among candidates, by intersecting full sets."""
+    """Candidates (a, b, star) with ``linked``, by intersecting full sets."""
     left, right = sets.select(F.col("doc").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("doc").alias("b"), F.col("shingles").alias("y"))
-    joined = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y")
+    joined = pairs.select("a", "b", "star").join(left, "a").join(right, "b").select("a", "b", "star", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
+            linked = []
+            for x, y in zip(batch.column(3), batch.column(4)):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 both = np.concatenate([x, y])
                 both.sort(kind="stable")
                 shared = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * shared >= percent * (len(both) - shared))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
+                linked.append(100 * shared >= percent * (len(both) - shared))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(linked, pa.bool_())], ["a", "b", "star", "linked"])
 
-    return joined.mapInArrow(run, "a long, b long")
+    return joined.mapInArrow(run, "a long, b long, star boolean, linked boolean")
 
 
 def _node(by_digest: bool, doc: str) -> Column:
@@ -205,15 +199,13 @@ def _sets(docs: DataFrame, ids: DataFrame, words: int, by_digest: bool = False)
     return chosen.mapInArrow(run, "doc long, digest binary, shingles binary").select(_node(by_digest, "doc").alias("doc"), "shingles")
 
 
-def _prefix_pairs(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """All pairs (a, b) of documents (doc, n, label) with different labels that can be similar enough.
+def _heads(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of documents (doc, n, label) the shingles among which a pair of different labels must meet, with ``rest``: how many of the set don't come before.
 
-    In one order of all shingles, rarest first, two sets that are must share one of the first
-    n - ceil(n * percent / 100) + 1 of each: so no pair is lost, and what a family of texts has in
-    common, being frequent in it, is left out of most of these prefixes.  What follows the first
-    shared shingle in both bounds what they can share at all: pairs for which even that is too
-    little are left out in the join itself.  Later shared shingles have less behind them, so
-    a pair that the first one rules out is ruled out by all.
+    In one order of all shingles two sets that are similar enough must share one of the first
+    n - ceil(n * percent / 100) + 1 of each.  Shingles of one label alone are shared by no pair
+    that is sought: they come first and only take places.  The others follow, rarest first.  So
+    what a family of near copies has to itself fills its members' places.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,14 +218,40 @@ def _prefix_pairs(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     spread = docs.join(sets, "doc").select("doc", "n", "label", "shingles").mapInArrow(run, "doc long, n long, label long, shingle long")
     spread = materialise(spread, "spread", PAIR_ROWS)
-    counted = spread.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")  # a shingle of one document takes a place but makes no pair
-    place = F.row_number().over(Window.partitionBy("doc").orderBy(F.coalesce("df", F.lit(1)), "shingle"))
+    shared = spread.groupBy("shingle").agg(F.count("*").alias("df"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("shingle", "df")
+    of_doc = Window.partitionBy("doc")
+    place = F.row_number().over(of_doc.orderBy("df", "shingle")) + F.col("n") - F.count("*").over(of_doc)
     prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    head = spread.join(counted, "shingle", "left").withColumn("_at", place).where(F.col("_at") <= prefix).where("df is not null").select("doc", "n", "label", "shingle", (F.col("n") - F.col("_at") + 1).alias("rest"))
-    other = head.select(F.col("doc").alias("b"), F.col("n").alias("b_n"), F.col("label").alias("b_label"), "shingle", F.col("rest").alias("b_rest"))
-    enough = (100 + percent) * F.least("rest", "b_rest") >= percent * (F.col("n") + F.col("b_n"))
-    found = head.join(other, "shingle").where("doc < b and label <> b_label").where(enough)
-    return found.select(F.col("doc").alias("a"), "b").distinct()
+    placed = spread.join(shared, "shingle").withColumn("place", place).where(F.col("place") <= prefix)
+    heads = materialise(placed.select("doc", "n", "label", "shingle", (F.col("n") - F.col("place") + 1).alias("rest")), "heads")
+    drop_tables(docs.sparkSession, spread)
+    return heads
+
+
+def _meetings(heads: DataFrame, percent: int) -> DataFrame:
+    """Rows (a, b, their n and rest) of different labels that meet in a shingle of their heads.
+
+    Labels are paired first, shingle by shingle, and only then expanded to their members, so
+    members of one label never meet each other.  Of a pair the one with fewer shingles, ``a``, needs only the
+    first n - ceil(2 * n * percent / (100 + percent)) + 1: what the larger one must share with it is more.
+    """
+    fewer = F.col("n") - F.ceil(2 * F.col("n") * percent / (100 + percent)) + 1
+    head = heads.where(F.col("n") - F.col("rest") + 1 <= fewer)
+    labels = head.select("shingle", "label").distinct().join(heads.select("shingle", F.col("label").alias("b_label")).distinct(), "shingle").where("label <> b_label")
+    left = head.select("shingle", "label", F.col("doc").alias("a"), F.col("n").alias("a_n"), F.col("rest").alias("a_rest"))
+    right = heads.select("shingle", F.col("label").alias("b_label"), F.col("doc").alias("b"), F.col("n").alias("b_n"), F.col("rest").alias("b_rest"))
+    return left.join(labels, ["shingle", "label"]).join(right, ["shingle", "b_label"]).select("a", "b", "a_n", "b_n", "a_rest", "b_rest")
+
+
+def _prefix_pairs(heads: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b), a < b, of documents with different labels that can be similar enough, from their heads.
+
+    What follows the first shared shingle in both bounds what they can share at all; a later one
+    has less behind it, so a pair that its first one rules out is ruled out by all.
+    """
+    enough = (100 + percent) * F.least("a_rest", "b_rest") >= percent * (F.col("a_n") + F.col("b_n"))
+    met = _meetings(heads, percent).where("a_n < b_n or a_n = b_n and a < b").where(_can_link("a_n", "b_n", percent)).where(enough)
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, values: int = 12, rows: int = 3) -> DataFrame:
@@ -247,30 +265,35 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, values:
     by_digest = not several.isEmpty()
     classes = materialise(whole.join(least, "digest").where("doc_id = class").select(_node(by_digest, "doc_id").alias("doc"), F.col("n_shingles").alias("n"), "collections", "digest", "class").dropDuplicates(["digest"]), "classes")
     found = materialise(_scan(_buckets(classes, values)), "candidates", 50_000)
-    first = found.where("key is null").where(_can_link("a_n", "b_n", percent)).select("a", "b").distinct()
-    pairs = materialise(first, "pairs")
-    large = found.where("key is not null").select("key", F.col("a").alias("doc"), F.col("a_n").alias("n"))
-    open_ids = large.select("doc").distinct()
-    ids = pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).unionByName(open_ids).distinct()
+    once = found.groupBy("a", "b").agg(F.max("star").alias("star"), F.min(_can_link("a_n", "b_n", percent)).alias("fits"))
+    pairs = materialise(once, "pairs")
+    ids = pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct()
     named_ids = ids.join(classes.select("doc", "class"), "doc").select(F.col("class").alias("doc")).distinct() if by_digest else ids
     sets = materialise(_sets(docs, named_ids, words, by_digest).dropDuplicates(["doc"]), "sets")
-    confirmed = _confirm(pairs, sets, percent)
+    checked = materialise(_confirm(pairs.where("fits"), sets, percent), "checked", PAIR_ROWS)
+    links = checked.where("linked").select("a", "b")
     if by_digest:
         nodes = whole.join(several, "doc_id", "left_semi").select("doc_id", _node(True, "doc_id").alias("b")).distinct()
         tied = nodes.join(nodes.groupBy("doc_id").agg(F.min("b").alias("a")), "doc_id").where("a < b").select("a", "b")
-        confirmed = confirmed.unionByName(tied)
-    links = materialise(confirmed, "links", PAIR_ROWS)
-    named, done = components(links), [pairs]
-    if not large.isEmpty():
-        members = large.join(named.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", "n", F.coalesce("component", "doc").alias("label"))
-        mixed = members.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-        open_docs = materialise(members.join(mixed.select("key"), "key", "left_semi").select("doc", "n", "label").distinct(), "open")
-        rest = _prefix_pairs(open_docs, sets, percent).join(pairs, ["a", "b"], "left_anti")
-        done += [open_docs, more := materialise(rest, "pairs")]
-        late = materialise(_confirm(more, sets, percent), "links", PAIR_ROWS)
+        links = links.unionByName(tied)
+    named = components(links)
+    done = [signed, classes, several, found, pairs, sets, checked, named]
+    label = lambda x: named.select(F.col("node").alias(x), F.col("component").alias(f"{x}_label"))
+    apart = checked.where("star and not linked").select("a", "b").unionByName(pairs.where("star and not fits").select("a", "b"))
+    apart = apart.join(label("a"), "a", "left").join(label("b"), "b", "left").where(F.coalesce("a_label", "a") != F.coalesce("b_label", "b"))
+    open_ids = pairs.where("star").join(apart.select("a").distinct(), "a", "left_semi").select(F.explode(F.array("a", "b")).alias("doc")).distinct()
+    open_docs = open_ids.join(classes.select("doc", "n"), "doc").join(label("doc"), "doc", "left").select("doc", "n", F.coalesce("doc_label", "doc").alias("label"))
+    open_docs = materialise(open_docs, "open")
+    done.append(open_docs)
+    if not open_docs.isEmpty():
+        heads = _heads(open_docs, sets, percent)
+        rest = _prefix_pairs(heads, percent).join(pairs.where("fits"), ["a", "b"], "left_anti")
+        more = materialise(rest.withColumn("star", F.lit(False)), "pairs")
+        late = materialise(_confirm(more, sets, percent).where("linked").select("a", "b"), "links", PAIR_ROWS)
+        done += [heads, more, late]
         if not late.isEmpty():
             named = components(links.unionByName(late))
-        done.append(late)
+            done.append(named)
     known = classes.select("digest", "doc", "class").join(named, F.col("doc") == F.col("node"), "left").select("digest", "class", F.coalesce("component", "doc").alias("component"))
     if by_digest:
         known = known.join(known.groupBy("component").agg(F.min("class").alias("least")), "component").select("digest", F.col("least").alias("component"))
@@ -280,7 +303,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, values:
         placed = placed.join(others, "doc_id", "left").withColumn("component", F.coalesce("component", "other"))
     out = placed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
     out = materialise(out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))), "near_duplicates")
-    drop_tables(spark, found, sets, links, several, *done)
+    drop_tables(spark, *done)
     return out
 
 
