@@ -15,7 +15,9 @@ counted, and only files that it names are read.
 
 Defined results: a null html is an empty payload; a null url leaves its header out; rows that
 share both the id and the payload are each stored as the response; a null page_id is stored
-as a response with an empty id and read back as null; extra columns are ignored.
+as a response with an empty id and read back as null; extra columns are ignored; an empty table
+gives no bundles, an empty index and no records.  A record is held whole by its task, and one
+above ``frame_bytes`` is a frame of its own, so a very long page costs memory in proportion to itself alone.
 """
 
 from __future__ import annotations
@@ -178,15 +180,21 @@ def write(pages: DataFrame, folder: str, frame_bytes: int = 128 << 10, bundle_by
 _READ_ARROW = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("payload", pa.binary())])
 
 
-def read_all(index: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
-    """Every record of the bundles that the index names, frame by frame, each payload checked against its digest."""
-    names = index.select("bundle").distinct()
+def read_all(index: DataFrame, folder: str, payloads: bool = True, frames: int = 64, task_bytes: int = 64 << 20) -> DataFrame:
+    """Every record of the bundles that the index names, frame by frame, each payload checked against its digest.
+
+    A task reads stretches of ``frames`` frames, found through the bundles' seek tables; there are as many
+    tasks as the records' bytes ask for at ``task_bytes`` each, and at least as many as cores if there are stretches enough.
+    """
+    stretches = index.select("bundle", (F.col("frame") / frames).cast("int").alias("stretch"), "length").groupBy("bundle", "stretch").agg(F.sum("length").alias("bytes"))
+    size = stretches.agg(F.count("*").alias("n"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()
+    tasks = max(1, min(size["n"], max(-(-size["bytes"] // task_bytes), index.sparkSession.sparkContext.defaultParallelism)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name in batch.column(0).to_pylist():
+            for name, stretch in zip(*(batch.column(k).to_pylist() for k in (0, 1))):
                 reader = Reader(folder, name)
-                for k in range(len(reader.frames)):
+                for k in range(stretch * frames, min((stretch + 1) * frames, len(reader.frames))):
                     data, at, rows = reader.frame(k), 0, []
                     while at < len(data):
                         row, at = parse(data, at)
@@ -194,7 +202,8 @@ def read_all(index: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
                     yield pa.RecordBatch.from_pylist(rows, _READ_ARROW)
                 reader.close()
 
-    return names.mapInArrow(run, READ)
+    # a stated number of partitions: these rows are few bytes, and adaptive execution would put them all into one task
+    return stretches.select("bundle", "stretch").repartition(tasks, "bundle", "stretch").mapInArrow(run, READ)
 
 
 def fetch(index: DataFrame, folder: str) -> DataFrame:
