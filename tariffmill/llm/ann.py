@@ -7,13 +7,18 @@ on a bounded sample by turns of coordinate descent over codes and weighted least
 entries; every row is then coded.
 
 A search adds table entries: two codes form a byte, so a query has one 256-entry table per
-pair of codes.  Euclidean nearness is the largest q.x - x.x / 2, with x.x kept exactly.  In each
-block of vectors the best ``rerank`` by that estimate are measured exactly, in double precision, on the original
-vectors, and the k nearest of all blocks are the result.
+pair of codes.  Euclidean nearness is the largest q.x - x.x / 2, with x.x kept exactly.  Scans read codes
+only; each query's best ``rerank`` rows of the whole table by that estimate are then measured
+exactly, in double precision, on the original vectors, and the k nearest of them are the result.
+
+Blocks hold a random share of the rows (see ``vectors.search``), so of a query's best ``rerank`` a block
+of share p has a binomial number: each block hands on six standard deviations and 16 rows more
+than it expects, and the chance that one of the best is lost there is below 1e-8.
 
 Defined results: see ``vectors.usable`` (zero vectors take no part); rows with the same id as a
-query are not among its candidates; equal distances go to smaller ids; fewer candidates than k are
-all returned; an empty table gives no rows.  Shorter vectors are filled up with zeros.
+query are not among its candidates; repeated rows are candidates each; equal distances go to smaller ids;
+fewer candidates than k are all returned; an empty table gives no rows.  Shorter vectors are filled up with zeros.
+Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise
-from .vectors import local_best, matrix, same_width, search, usable
+from .vectors import SLICE, best_rows, block_count, local_best, matrix, same_width, search, usable
 
 ENTRIES = 16
 
@@ -111,56 +116,74 @@ def fit(x: np.ndarray, part: int = 2, parallel: float = 4.0, rounds: int = 3, se
 
 
 def build(data: DataFrame, books: Codebooks) -> DataFrame:
-    """The index: id, v, and ``codes`` (two to a byte) of every row."""
+    """The index: id, ``half`` of the squared length and ``codes`` (two to a byte) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                codes = packed_codes(books.encode(matrix(part.column(1))))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([c.tobytes() for c in codes], pa.binary())], ["id", "v", "codes"])
+                x = matrix(part.column(1))
+                codes = packed_codes(books.encode(x))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array((x * x).sum(1) / 2), pa.array([c.tobytes() for c in codes], pa.binary())], ["id", "half", "codes"])
 
-    return materialise(data.mapInArrow(run, "id long, v array<double>, codes binary"), "ann_index")
+    return materialise(data.mapInArrow(run, "id long, half double, codes binary"), "ann_index")
 
 
-def best_in_block(query_ids: np.ndarray, q: np.ndarray, vec_ids: np.ndarray, x: np.ndarray, codes: np.ndarray, books: Codebooks, k: int, rerank: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each query's k nearest of a block: scan, then exact distances of the best ``rerank``."""
-    q, x = same_width(q, x)
+def best_in_block(query_ids: np.ndarray, q: np.ndarray, vec_ids: np.ndarray, half: np.ndarray, codes: np.ndarray, books: Codebooks, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each query's ``most`` best estimates of a block (query id, vec id, estimate), equal ones with smaller ids first."""
     tables = books.tables(q)
-    estimate = np.zeros((len(q), len(x)), np.float32)
-    for b in range(codes.shape[1]):
-        estimate += tables[:, b][:, codes[:, b]]
-    estimate -= ((x * x).sum(1) / 2).astype(np.float32)
-    estimate[query_ids[:, None] == vec_ids[None, :]] = -np.inf
-    # equal estimates: smaller ids first, so that copies of one vector are taken as ties ask
-    by_id = np.argsort(vec_ids, kind="stable")
-    take = min(rerank, len(x))
-    top = by_id[np.argsort(-estimate[:, by_id], axis=1, kind="stable")[:, :take]] if take < len(x) else np.tile(np.arange(len(x)), (len(q), 1))
-    asked, found, measured = [], [], []
-    for i in range(len(q)):
-        own = top[i][np.isfinite(estimate[i, top[i]])]
-        asked.append(np.full(len(own), query_ids[i]))
-        found.append(vec_ids[own])
-        measured.append(np.sqrt(((x[own] - q[i]) ** 2).sum(1)))
-    a, f, d = local_best(np.concatenate(asked), np.concatenate(found), -np.concatenate(measured), k)
-    return a, f, -d
-
-
-def nearest(embeddings: DataFrame, queries: Column, k: int = 10, sample_rows: int = 8192, rerank: int = 96, id_: str = "vec_id", vector: str = "embedding", block_rows: int = 1024) -> DataFrame:
-    """query_id, rank, vec_id, score (the Euclidean distance) of the k nearest found per query; ``queries`` says of ``id`` which rows ask."""
+    reached = np.full(len(q), -np.inf)
+    top = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    for low in range(0, len(vec_ids), SLICE):
+        part = slice(low, low + SLICE)
+        estimate = np.zeros((len(q), len(vec_ids[part])), np.float32)
+        for b in range(codes.shape[1]):
+            estimate += tables[:, b][:, codes[part, b]]
+        estimate = estimate - half[part]
+        estimate[query_ids[:, None] == vec_ids[None, part]] = -np.inf
+        if estimate.shape[1] > most:  # what the slice alone rules out
+            np.maximum(reached, -np.partition(-estimate, most - 1, axis=1)[:, most - 1], out=reached)
+        r, c = np.nonzero((estimate >= reached[:, None]) & (estimate > -np.inf))
+        top = local_best(np.r_[top[0], r], np.r_[top[1], vec_ids[part][c]], np.r_[top[2], estimate[r, c]], most)
+        first = np.searchsorted(top[0], np.arange(len(q)))
+        full = np.searchsorted(top[0], np.arange(len(q)), side="right") - first >= most
+        reached[full] = np.maximum(reached[full], top[2][first[full] + most - 1])
+    return query_ids[top[0]], top[1], top[2]
+
+
+def measure(pairs: DataFrame, data: DataFrame, asked: DataFrame) -> DataFrame:
+    """query_id, vec_id and the exact distance of each pair, for all rows that have its vec_id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            q, x = same_width(matrix(batch.column(2)), matrix(batch.column(3)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.sqrt(((x - q) ** 2).sum(1)))], ["query_id", "vec_id", "score"])
+
+    with_x = pairs.select("query_id", "vec_id").distinct().join(data.select(F.col("id").alias("vec_id"), F.col("v").alias("x")), "vec_id")
+    both = with_x.join(asked.select(F.col("id").alias("query_id"), F.col("v").alias("q")), "query_id")
+    return both.select("query_id", "vec_id", "q", "x").mapInArrow(run, "query_id long, vec_id long, score double")
+
+
+def nearest(embeddings: DataFrame, queries: Column, k: int = 10, sample_rows: int = 8192, rerank: int = 512, id_: str = "vec_id", vector: str = "embedding", block_rows: int | None = None) -> DataFrame:
+    """query_id, rank, vec_id, score (the Euclidean distance) of the k nearest found per query; ``queries`` says of ``id`` which rows ask.
+
+    ``sample_rows`` bounds the rows, chosen by hash, that the codebooks are fitted on; ``rerank`` is a query's budget of exact distances.
+    """
     data = usable(embeddings, id_, vector, zero_counts=False)
-    n = data.count()
-    share = F.pmod(F.xxhash64("id", F.lit(23)), F.lit(1 << 30)) < int(min(1.0, sample_rows / max(n, 1)) * (1 << 30))
-    sample = data.where(share).limit(sample_rows).select("id", "v").toArrow()
-    if not sample.num_rows:
-        sample = data.limit(ENTRIES).select("id", "v").toArrow()
+    sample = data.orderBy(F.xxhash64("id", F.lit(23)), "id").limit(sample_rows).select("id", "v").toArrow()
     x = matrix(sample["v"]) if sample.num_rows else np.zeros((0, 0))
-    x = x[np.argsort(sample["id"].to_numpy(), kind="stable")]
     books = fit(x) if x.size else Codebooks(np.zeros((1, ENTRIES, 2)), 4.0)
     index = build(data, books)
-
-    def best(asked: pa.Table, held: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        codes = np.array([np.frombuffer(c.as_buffer(), np.uint8) for c in held["codes"]])
-        return best_in_block(asked["id"].to_numpy(), matrix(asked["v"]), held["id"].to_numpy(), matrix(held["v"]), codes, books, k, rerank)
-
-    return search(index, queries, best, k, False, "double", block_rows)
+    asked = data.where(queries)
+    n, blocks = block_count(index, 16 + books.entries.shape[0] // 2, block_rows)
+    budget = max(rerank, k)
+    mean = budget / blocks
+    most = min(budget, int(np.ceil(mean + 6 * np.sqrt(mean))) + 16) if blocks > 1 else budget
+
+    def ready(held: pa.Table):
+        codes = np.frombuffer(b"".join(held["codes"].to_pylist()), np.uint8).reshape(held.num_rows, -1)
+        ids, half = held["id"].to_numpy(), held["half"].to_numpy()
+        return lambda asked: best_in_block(asked["id"].to_numpy(), matrix(asked["v"]), ids, half, codes, books, most)
+
+    found = search(asked, index, ready, blocks, budget, True, "double")
+    return best_rows(measure(found, data, asked), k, False)

@@ -1,10 +1,11 @@
 """Blocks of vectors for searches: which rows count, how they are dealt, and how results are merged.
 
-A stated query set is searched against all rows in blocks.  Vectors are dealt to blocks by a
+A stated query set is searched against all rows in a grid: vectors are dealt to blocks by a
 hash of their id, so equal or crowded vectors spread evenly; queries are packed, one row for
-some hundreds, and sent to every block of vectors; a task holds one block of vectors and one
-group of packed queries.  Each block answers with its own best k per query, and the best k of
-those are the result.
+some hundreds, and packs form groups.  A task holds one block and one group.  Every vector is
+copied once for each group and every query once for each block, and both are large (up to ``BLOCK_ROWS``
+vectors, ``GROUP`` packs), so copies grow as slowly as a task's memory allows.  Each block answers with its own
+best per query, and the best k of those are the result.
 """
 
 from __future__ import annotations
@@ -16,8 +17,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Query blocks that a task takes at most.
-GROUP = 64
+#: Packs of queries that a task takes at most, and queries of a pack.
+GROUP, QUERY_ROWS = 64, 512
+#: Vectors of a block: at most so many rows and bytes; with fewer rows than these a table isn't cut for the cores' sake.
+BLOCK_ROWS, BLOCK_BYTES, LEAST_ROWS = 65_536, 32 << 20, 1_024
+#: Vectors that are compared with a pack at once inside a block.
+SLICE = 4_096
 
 
 def usable(embeddings: DataFrame, id_: str, vector: str, zero_counts: bool) -> DataFrame:
@@ -48,41 +53,51 @@ def same_width(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return wide(a), wide(b)
 
 
-def search(data: DataFrame, queries: Column, best: Callable, k: int, descending: bool, score: str, block_rows: int = 1024, query_rows: int = 512) -> DataFrame:
-    """query_id, rank, vec_id, score of the k best per query among all other rows of ``data`` (id, v, ...).
+def block_count(held: DataFrame, row_bytes: int, block_rows: int | None = None) -> tuple[int, int]:
+    """Rows of ``held``, and into how many blocks they go: as few as memory allows, but one a core where they are enough."""
+    n = held.count()
+    most = block_rows or max(LEAST_ROWS, min(BLOCK_ROWS, BLOCK_BYTES // max(row_bytes, 1)))
+    return n, max(1, -(-n // most), min(-(-n // LEAST_ROWS), held.sparkSession.sparkContext.defaultParallelism))
 
-    ``best(query_ids, query_table, data_table)`` gives arrays (query id, vec id, score) of a
-    block's k best for each query.  ``score`` is their SQL type.
+
+def search(asked: DataFrame, held: DataFrame, ready: Callable, blocks: int, k: int, descending: bool, score: str, prepare: Callable | None = None) -> DataFrame:
+    """query_id, rank, vec_id, score of the k best per query of ``asked`` (id, ...) among the rows of ``held`` (id, ...).
+
+    ``ready(held_table)`` is called once for a block and gives ``best(asked_table)``, which gives arrays
+    (query id, vec id, score) of the block's best for each query.  ``prepare`` may add columns to a
+    pack of queries.  ``score`` is the scores' SQL type.
     """
-    n = data.count()
-    blocks = max(1, -(-n // block_rows))
-    chosen = data.where(queries)
-    packs = max(1, -(-chosen.count() // query_rows))
+    packs = max(1, -(-asked.count() // QUERY_ROWS))
     groups = -(-packs // GROUP)
-    names = data.columns
+    names = asked.columns
 
     def packed(table: pa.Table) -> pa.Table:
         sink = pa.BufferOutputStream()
         rows = table.select(names)
+        rows = prepare(rows) if prepare else rows
         with pa.ipc.new_stream(sink, rows.schema) as out:
             out.write_table(rows)
         return pa.table({"pack": table["_pack"].slice(0, 1), "rows": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
 
-    asked = chosen.withColumn("_pack", F.pmod(F.xxhash64("id", F.lit(5)), F.lit(packs)).cast("int")).groupBy("_pack").applyInArrow(packed, "pack int, rows binary")
-    asked = asked.select((F.col("pack") / GROUP).cast("int").alias("g"), "rows", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
-    dealt = data.withColumn("b", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(blocks)).cast("int")).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    sent = asked.withColumn("_pack", F.pmod(F.xxhash64("id", F.lit(5)), F.lit(packs)).cast("int")).groupBy("_pack").applyInArrow(packed, "pack int, rows binary")
+    sent = sent.select((F.col("pack") / GROUP).cast("int").alias("g"), "rows", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
+    dealt = held.withColumn("b", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(blocks)).cast("int")).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     out_arrow = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64() if score == "double" else pa.int64())])
 
     def both(left: pa.Table, right: pa.Table) -> pa.Table:
         made = []
-        if left.num_rows:
-            for rows in right["rows"].to_pylist():
-                table = pa.ipc.open_stream(rows).read_all()
-                made.append(best(table, left))
+        if left.num_rows and right.num_rows:
+            best = ready(left)
+            made = [best(pa.ipc.open_stream(rows).read_all()) for rows in right["rows"].to_pylist()]
         columns = [np.concatenate([m[c] for m in made]) if made else [] for c in range(3)]
         return pa.table([pa.array(c, f.type) for c, f in zip(columns, out_arrow)], schema=out_arrow)
 
-    found = dealt.groupBy("b", "g").cogroup(asked.groupBy("b", "g")).applyInArrow(both, f"query_id long, vec_id long, score {score}")
+    found = dealt.groupBy("b", "g").cogroup(sent.groupBy("b", "g")).applyInArrow(both, f"query_id long, vec_id long, score {score}")
+    return best_rows(found, k, descending)
+
+
+def best_rows(found: DataFrame, k: int, descending: bool) -> DataFrame:
+    """query_id, rank, vec_id, score: the k best rows of each query, ties to smaller ids."""
     order = [F.desc("score") if descending else F.asc("score"), F.asc("vec_id")]
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
