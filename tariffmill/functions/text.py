@@ -265,14 +265,18 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.StringType())
 def record_hash(records: pd.Series) -> pd.Series:
-    """SHA-256 of canonical JSON: sorted keys, no spaces, characters kept."""
+    """SHA-256 of canonical JSON: sorted keys, no spaces, characters kept; text that isn't JSON counts as a JSON string."""
     import hashlib
     import json
 
     def one(text: str | None) -> str | None:
         if text is None:
             return None
-        flat = json.dumps(json.loads(text), ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+        try:
+            told = json.loads(text)
+        except ValueError:
+            told = text
+        flat = json.dumps(told, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
         return hashlib.sha256(flat.encode()).hexdigest()
 
     return records.map(one)

@@ -5,6 +5,7 @@ Late data: rows are ordered by event time, and those behind the watermark are dr
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -24,14 +25,20 @@ def payload_stream(spark: SparkSession, path: str) -> DataFrame:
 
 
 def run_import(spark: SparkSession, path: str, folder: str, catalog: DataFrame | None = None) -> StreamingQuery:
-    """Import what has arrived since the last run, then stop; the checkpoint and idempotent writes make reruns safe."""
+    """Import what has arrived since the last run, then stop.
 
-    def each(batch: DataFrame, _: int) -> None:
-        rows = service_rows(batch)
-        if not rows.isEmpty():
-            import_batch(rows, folder, catalog)
+    A micro-batch's run id is made of the stream's id, which its checkpoint keeps, and the batch's number:
+    a batch that was published before its checkpoint was written is replayed without effect.
+    Payloads whose root is invalid are quarantined.
+    """
+    checkpoint = f"{folder}/_checkpoint"
 
-    return payload_stream(spark, path).writeStream.foreachBatch(each).option("checkpointLocation", f"{folder}/_checkpoint").trigger(availableNow=True).start()
+    def each(batch: DataFrame, number: int) -> None:
+        if not batch.isEmpty():
+            stream = json.loads(batch.sparkSession.read.text(f"{checkpoint}/metadata", wholetext=True).first()[0])["id"]
+            import_batch(service_rows(batch), folder, catalog, f"{stream}:{number}", batch)
+
+    return payload_stream(spark, path).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 class PriceChange(StatefulProcessor):
