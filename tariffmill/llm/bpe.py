@@ -5,8 +5,10 @@ derives from the merge list alone how many bytes must follow a token for that: t
 between what two different continuations share and what they don't moves left only when a rule
 (u, v) merges across it, by len(u) bytes, and the next such rule must come later in the list
 and have u at the left edge of its own right part.  The longest such chain bounds the reach.
-The encoder buffers a window, merges it, emits every token that has that many bytes behind it,
-and goes on from the last emitted boundary, so memory does not depend on the length of a piece.
+The encoder buffers a window of a piece, merges it, emits every token that has that many bytes behind it
+or the piece's end, and goes on from the last emitted boundary, so memory does not depend on the
+length of a piece.  ``transduce_many`` runs this machine over all pieces of a block side by side, and all
+tokens come from it; a piece longer than a block goes through it in parts (``transduce``).
 
 Decoding maps ids to bytes and feeds them through an incremental UTF-8 state machine, so a
 character split over tokens appears when its last byte does; invalid bytes give U+FFFD.
@@ -26,6 +28,7 @@ import heapq
 import json
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -33,19 +36,26 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .blocks import release
+
 #: Unicode white space, as the pre-tokenizer's ``\s`` has it.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0                　"
 #: The pre-tokenizer's pattern.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^S\p{L}\p{N}]+|[S]+(?![^S])|[S]+".replace("S", regex.escape(WHITE, special_only=False))
-#: A single space where a text can be cut: no piece crosses the place before it.
-SAFE = regex.compile("[^S](?= [^S])".replace("S", regex.escape(WHITE, special_only=False)))
+#: Before which place a text can be cut: a piece surely starts there.
+SAFE = regex.compile(r"[^S](?=[S])|\p{L}(?=[^S\p{L}])|\p{N}(?=[^S\p{N}])|[^S\p{L}\p{N}'](?=[\p{L}\p{N}])".replace("S", regex.escape(WHITE, special_only=False)))
 #: Distinct pieces that a worker remembers before it starts afresh.
-CACHE = 250_000
+CACHE = 120_000
+#: Pieces of up to so many bytes are remembered, and merged many at once.
+SHORT = 64
+#: Windows of long pieces that are remembered while one piece is coded.
+WINDOWS = 64
 NO_MERGE = 1 << 62
 SLOT_BITS = 18
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
-#: Pieces are looked up by a 64-bit polynomial hash of their bytes with random coefficients, and their size: two of a million kinds of piece meet with a chance below 1e-7.
+#: Short pieces are looked up by a 64-bit polynomial hash of their bytes with random coefficients, and a second one must agree; of those that don't each is coded by itself.
 BYTE_HASH = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+CHECK_HASH = np.random.default_rng(21).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BASE = 0xD1342543DE82EF95
 
 
@@ -123,10 +133,16 @@ class Bpe:
         self.pieces = regex.compile(PIECES)
         self.marks = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.first_np = np.array(self.first)
+        self.size_np = np.zeros(max(self.bytes_of) + 1, np.int64)
+        for i, b in self.bytes_of.items():
+            self.size_np[i] = len(b)
         self._hash_rules()
         self.kinds = character_kinds()
+        self._forget()
+
+    def _forget(self) -> None:
         self.known: dict[int, int] = {}
-        self.kept, self.kept_at = np.zeros(0, np.int64), np.zeros(1, np.int64)
+        self.kept, self.kept_at, self.kept_check = np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, np.uint64)
 
     def _hash_rules(self) -> None:
         """Rules in an open-addressed table for vectorised look-ups."""
@@ -186,28 +202,66 @@ class Bpe:
 
     def transduce(self, parts: Iterable[bytes]) -> Iterator[int]:
         """The tokens of one piece that arrives in parts, each as soon as it is stable; the buffer holds a window at most, and one part."""
-        held = bytearray()
+        held, seen = bytearray(), {}
         for part in parts:
             for at in range(0, len(part), self.window):
                 held += part[at : at + self.window]
                 if len(held) < self.window:
                     continue
-                final, end = len(held) - self.lookahead, 0
-                for token in self.merge(bytes(held)):
-                    to = end + len(self.bytes_of[token])
-                    if to > final:
-                        break
-                    yield token
-                    end = to
+                whole = bytes(held)
+                if whole not in seen:  # long pieces often repeat themselves
+                    if len(seen) >= WINDOWS:
+                        seen.clear()
+                    merged = np.array(self.merge(whole))
+                    ends = np.cumsum(self.size_np[merged])
+                    n = int(np.searchsorted(ends, len(whole) - self.lookahead, side="right"))
+                    seen[whole] = merged[:n].tolist(), int(ends[n - 1]) if n else 0
+                tokens, end = seen[whole]
+                yield from tokens
                 del held[:end]
         yield from self.merge(bytes(held))
 
-    # -- whole texts
+    def transduce_many(self, coded: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of many whole pieces, which begin ``at`` places of ``coded``, and how many each has.
 
-    def _piece(self, coded: bytes) -> Iterable[int]:
-        if len(coded) <= self.window:
-            return self.merge(coded)
-        return self.transduce(coded[i : i + self.window] for i in range(0, len(coded), self.window))
+        In each round every unfinished piece has a window in its buffer; tokens that end with the piece, or with
+        the lookahead behind them, are stable and leave, and the buffer goes on from there.
+        """
+        begin, end, going = at.copy(), at + size, np.arange(len(at))
+        out: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        while len(going):
+            width = np.minimum(end[going] - begin[going], self.window)
+            tokens, counts = self._merge_buffers(coded, begin[going], width)
+            buffer = np.repeat(np.arange(len(going)), counts)
+            wide = self.size_np[tokens]
+            ends = np.cumsum(wide)
+            ends -= np.repeat(np.r_[0, ends[np.cumsum(counts)[:-1] - 1]] if len(counts) else counts, counts)
+            whole = begin[going] + width == end[going]
+            stable = ends <= np.where(whole, width, width - self.lookahead)[buffer]
+            out.append((going[buffer[stable]], tokens[stable]))
+            begin[going] += np.bincount(buffer[stable], wide[stable], len(going)).astype(np.int64)
+            going = going[~whole]
+        owners, tokens = (np.concatenate(x) for x in zip(*out))
+        order = np.argsort(owners, kind="stable")
+        return tokens[order], np.bincount(owners, minlength=len(at))
+
+    def _merge_buffers(self, coded: np.ndarray, begin: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``merge`` of each buffer: short ones together, long ones one by one."""
+        short = np.flatnonzero(width <= SHORT)
+        tokens: list[np.ndarray] = []
+        counts = np.zeros(len(begin), np.int64)
+        if len(short):
+            wide = width[short]
+            spread = np.repeat(begin[short] - np.r_[0, np.cumsum(wide)[:-1]], wide) + np.arange(wide.sum())
+            merged, counts[short] = self.merge_many(self.first_np[coded[spread]], wide)
+            if len(short) == len(begin):
+                return merged, counts
+            tokens = np.split(merged, np.cumsum(counts[short])[:-1])
+        of = dict(zip(short.tolist(), tokens))
+        for i in np.flatnonzero(width > SHORT).tolist():
+            of[i] = np.array(self.merge(coded[begin[i] : begin[i] + width[i]].tobytes()), np.int64)
+            counts[i] = len(of[i])
+        return np.concatenate([of[i] for i in range(len(begin))]), counts
 
     def _find(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """For pairs of tokens their rule (rank and result in one integer), or NO_MERGE."""
@@ -290,82 +344,114 @@ class Bpe:
         byte_at = piece_at if len(coded) == len(points) else np.flatnonzero((coded & 0xC0) != 0x80)[piece_at]
         size = np.diff(np.r_[byte_at, len(coded)])
         powers, back = powers_of(len(coded) + 1)
-        sums = np.cumsum(BYTE_HASH[coded] * powers[: len(coded)])
-        key = np.r_[sums[byte_at[1:] - 1], sums[-1]] - np.r_[np.uint64(0), sums[byte_at[1:] - 1]]
-        key = key * back[byte_at] * SPREAD + size.astype(np.uint64)
-        code, unique = pd.factorize(key)
+
+        def keys(of: np.ndarray) -> np.ndarray:
+            sums = np.cumsum(of[coded] * powers[: len(coded)])
+            key = np.r_[sums[byte_at[1:] - 1], sums[-1]] - np.r_[np.uint64(0), sums[byte_at[1:] - 1]]
+            return key * back[byte_at] * SPREAD + size.astype(np.uint64)
+
+        key, check = keys(BYTE_HASH), keys(CHECK_HASH)
+        short = np.flatnonzero(size <= SHORT)
+        code, unique = pd.factorize(key[short])
         chosen = np.empty(len(unique), np.int64)
-        chosen[code[::-1]] = np.arange(len(code))[::-1]
+        chosen[code[::-1]] = short[::-1]
+        agree = check[short] == check[chosen[code]]
         if len(self.known) > CACHE:
-            self.known, self.kept, self.kept_at = {}, np.zeros(0, np.int64), np.zeros(1, np.int64)
+            self._forget()
         where = np.fromiter((self.known.get(k, -1) for k in unique.tolist()), np.int64, len(unique))
+        found = np.flatnonzero(where >= 0)
+        where[found[self.kept_check[where[found]] != check[chosen[found]]]] = -1
         fresh = np.flatnonzero(where < 0)
-        if len(fresh):
-            at, wide = byte_at[chosen[fresh]], size[chosen[fresh]]
-            order = np.argsort(wide > 64, kind="stable")  # long pieces last, one by one
-            fresh, at, wide = fresh[order], at[order], wide[order]
-            short = int((wide <= 64).sum())
-            tokens, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            if short:
-                spread = np.repeat(at[:short] - np.r_[0, np.cumsum(wide[:short])[:-1]], wide[:short]) + np.arange(wide[:short].sum())
-                merged = self.merge_many(self.first_np[coded[spread]], wide[:short])
-                tokens.append(merged[0])
-                counts.append(merged[1])
-            for a, w in zip(at[short:], wide[short:]):
-                ids = np.fromiter(self._piece(coded[a : a + w].tobytes()), np.int64)
-                tokens.append(ids)
-                counts.append(np.array([len(ids)]))
-            begin = len(self.kept_at) - 1
-            where[fresh] = begin + np.arange(len(fresh))
-            self.known.update(zip(unique[fresh].tolist(), range(begin, begin + len(fresh))))
-            self.kept = np.concatenate([self.kept, *tokens])
-            self.kept_at = np.concatenate([self.kept_at, self.kept_at[-1] + np.cumsum(np.concatenate(counts))])
-        slot = where[code]
-        count = self.kept_at[slot + 1] - self.kept_at[slot]
+        # pieces coded by themselves: long ones, and those whose hashes meet by chance
+        alone = np.sort(np.r_[np.flatnonzero(size > SHORT), short[~agree]])
+        todo = np.r_[chosen[fresh], alone]
+        tokens, counts = self.transduce_many(coded, byte_at[todo], size[todo])
+        begin = len(self.kept_check)
+        pool = np.concatenate([self.kept, tokens])
+        pool_at = np.concatenate([self.kept_at, self.kept_at[-1] + np.cumsum(counts)])
+        where[fresh] = begin + np.arange(len(fresh))
+        slot = np.empty(len(size), np.int64)
+        slot[short] = where[code]
+        slot[alone] = begin + len(fresh) + np.arange(len(alone))
+        count = pool_at[slot + 1] - pool_at[slot]
         ends = np.cumsum(count)
-        ids = self.kept[np.repeat(self.kept_at[slot] - (ends - count), count) + np.arange(ends[-1])]
+        ids = pool[np.repeat(pool_at[slot] - (ends - count), count) + np.arange(ends[-1])]
+        # the short ones are remembered
+        self.known.update(zip(unique[fresh].tolist(), where[fresh].tolist()))
+        self.kept_at = pool_at[: begin + len(fresh) + 1]
+        self.kept = pool[: self.kept_at[-1]].copy() if len(alone) else pool
+        self.kept_check = np.r_[self.kept_check, check[chosen[fresh]]]
         return ids, np.add.reduceat(count, text_piece)
 
-    def encode_batch(self, texts: list[str | None], block: int = 1 << 19) -> Iterator[np.ndarray]:
-        """The ids of each text in turn.  Texts are coded in blocks of about ``block`` characters; longer ones are cut where no piece can cross."""
-        held: list[tuple[int, str]] = []
+    def encode_texts(self, texts: list[str | None], block: int = 1 << 18) -> Iterator[Iterable[np.ndarray]]:
+        """For each text in turn its ids in chunks, to be taken before the next text's.
+
+        Texts are coded in blocks of about ``block`` characters; longer ones leave chunk by chunk.
+        """
+        held: list[str] = []
         room = block
 
-        def flush() -> Iterator[np.ndarray]:
-            parts = [t for _, t in held if t]
+        def flush() -> Iterator[list[np.ndarray]]:
+            parts = [t for t in held if t]
             ids, counts = self._block(parts) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
             at = k = 0
-            for _, t in held:
+            for t in held:
                 n = int(counts[k]) if t else 0
                 k += bool(t)
-                yield ids[at : at + n]
+                yield [ids[at : at + n]]
                 at += n
             held.clear()
 
-        for i, text in enumerate(texts):
+        for text in texts:
             text = text or ""
-            long, marked = len(text) > block, self.marks is not None and self.marks.search(text)
-            if held and (long or marked or len(text) > room):
+            apart = len(text) > block or self.marks is not None and self.marks.search(text)
+            if held and (apart or len(text) > room):
                 yield from flush()
                 room = block
-            if marked:
-                yield np.concatenate([np.array([self.added[s]]) if s in self.added else self._long(s, block) for s in self.marks.split(text)])
-            elif long:
-                yield self._long(text, block)
+            if apart:
+                yield self.encode_stream(text, block)
             else:
-                held.append((i, text))
+                held.append(text)
                 room -= len(text)
         if held:
             yield from flush()
 
-    def _long(self, text: str, block: int) -> np.ndarray:
-        out, at = [np.zeros(0, np.int64)], 0
-        while at < len(text):
-            cut = SAFE.search(text, at + block) if len(text) - at > block else None
-            to = cut.start() + 1 if cut else len(text)
-            out.append(self._block([text[at:to]])[0])
+    def encode_stream(self, text: str, block: int = 1 << 18) -> Iterator[np.ndarray]:
+        """The ids of one text in chunks; besides the text just a block of it is held, however long its pieces are."""
+        at = 0
+        for mark in self.marks.finditer(text) if self.marks is not None else ():
+            yield from self._stretch(text, at, mark.start(), block)
+            yield np.array([self.added[mark[0]]])
+            at = mark.end()
+        yield from self._stretch(text, at, len(text), block)
+
+    def _stretch(self, text: str, at: int, end: int, block: int) -> Iterator[np.ndarray]:
+        """Blocks that end where a piece surely starts; a piece that has no such place for a whole block is coded in parts."""
+        while at < end:
+            to = end
+            if end - at > block:
+                cut = SAFE.search(text, at + block, min(end, at + 2 * block))
+                to = cut.start() + 1 if cut else at + self._last_start(text[at : at + block])
+            if to > at:
+                yield self._block([text[at:to]])[0]
+                at = to
+                continue
+            to = self.pieces.match(text, at, end).end()
+            tokens = self.transduce(text[i : min(i + 4096, to)].encode("utf-8") for i in range(at, to, 4096))
+            while len(ids := np.fromiter(islice(tokens, 65536), np.int64)):
+                yield ids
             at = to
-        return np.concatenate(out)
+
+    def _last_start(self, text: str) -> int:
+        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        first = np.zeros(len(points), bool)
+        first[0] = True
+        return int(np.flatnonzero(self._starts(points, first))[-1])
+
+    def encode_batch(self, texts: list[str | None], block: int = 1 << 18) -> Iterator[np.ndarray]:
+        """The whole ids of each text in turn."""
+        for chunks in self.encode_texts(texts, block):
+            yield np.concatenate([np.zeros(0, np.int64), *chunks])
 
     def encode(self, text: str | None) -> list[int]:
         return next(self.encode_batch([text])).tolist()
@@ -406,33 +492,43 @@ FIELDS = {
 def transcode(docs: DataFrame, tokenizer_path: str, outputs: tuple[str, ...] = ("n_tokens", "ids", "decoded"), key: str = "doc_id", text: str = "text") -> DataFrame:
     """Encode each text and decode the ids again; one row per input row with ``key`` and the ``outputs`` (of FIELDS).
 
-    Narrow and partition-local: no shuffle, and a worker holds one text with its ids at a time
-    besides a bounded cache of chunks.
+    Narrow and partition-local: no shuffle.  Unless ``ids`` or ``decoded`` themselves are asked for, a worker holds one
+    batch of texts, a block's ids and a bounded cache of short pieces: digests are fed chunk by chunk.
     """
     rows = docs.select(key, text)
     kind = rows.schema[key].dataType.simpleString()
 
+    def one(bpe: Bpe, chunks: Iterable[np.ndarray]) -> dict[str, object]:
+        n, ids_hash, decoded_hash, held, told = 0, hashlib.sha256(), hashlib.sha256(), [], []
+        machine = codecs.getincrementaldecoder("utf-8")("replace")
+        get = bpe.bytes_of.__getitem__
+        for ids in chunks:
+            if "ids_sha256" in outputs and len(ids):
+                ids_hash.update((("," if n else "") + ",".join(map(bpe.decimal.__getitem__, ids.tolist()))).encode())
+            n += len(ids)
+            if "ids" in outputs:
+                held.append(ids)
+            for at in range(0, len(ids), 4096) if {"decoded", "decoded_sha256"} & set(outputs) else ():
+                more = machine.decode(b"".join(map(get, ids[at : at + 4096].tolist())))
+                decoded_hash.update(more.encode())
+                if "decoded" in outputs:
+                    told.append(more)
+        rest = machine.decode(b"", True)
+        decoded_hash.update(rest.encode())
+        made = {"n_tokens": n, "ids_sha256": ids_hash.hexdigest(), "decoded_sha256": decoded_hash.hexdigest(), "decoded": "".join([*told, rest])}
+        return made | {"ids": np.concatenate([np.zeros(0, np.int64), *held])}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = model(tokenizer_path)
-        told = {"decoded", "decoded_sha256"} & set(outputs)
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 made: dict[str, list] = {o: [] for o in outputs}
-                for ids in bpe.encode_batch(part.column(1).to_pylist()):
-                    ids = ids.tolist()
-                    text = bpe.decode(ids) if told else ""
+                for chunks in bpe.encode_texts(part.column(1).to_pylist()):
+                    row = one(bpe, chunks)
                     for o, column in made.items():
-                        if o == "n_tokens":
-                            column.append(len(ids))
-                        elif o == "ids":
-                            column.append(ids)
-                        elif o == "decoded":
-                            column.append(text)
-                        elif o == "ids_sha256":
-                            column.append(hashlib.sha256(",".join(map(bpe.decimal.__getitem__, ids)).encode()).hexdigest())
-                        else:
-                            column.append(hashlib.sha256(text.encode()).hexdigest())
+                        column.append(row[o])
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(made[o], FIELDS[o][0]) for o in outputs)], [key, *outputs])
+        release()
 
     return rows.mapInArrow(run, f"`{key}` {kind}, " + ", ".join(FIELDS[o][1] for o in outputs))
