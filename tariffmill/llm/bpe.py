@@ -45,7 +45,7 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^S\p{L}\p{N}]+|[S]+(?![^
 #: Before which place a text can be cut: a piece surely starts there.
 SAFE = regex.compile(r"[^S](?=[S])|\p{L}(?=[^S\p{L}])|\p{N}(?=[^S\p{N}])|[^S\p{L}\p{N}'](?=[\p{L}\p{N}])".replace("S", regex.escape(WHITE, special_only=False)))
 #: Distinct pieces that a worker remembers before it starts afresh.
-CACHE = 120_000
+CACHE = 250_000
 #: Pieces of up to so many bytes are remembered, and merged many at once.
 SHORT = 64
 #: Windows of long pieces that are remembered while one piece is coded.
@@ -141,7 +141,8 @@ class Bpe:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[int, int] = {}
+        #: Sorted hashes of remembered pieces, which of ``kept`` each is, and by that the second hashes and tokens.
+        self.known, self.known_slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.kept, self.kept_at, self.kept_check = np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, np.uint64)
 
     def _hash_rules(self) -> None:
@@ -150,13 +151,11 @@ class Bpe:
         home = (keys.view(np.uint64) * SPREAD >> np.uint64(64 - SLOT_BITS)).view(np.int64)
         self.slot_key = np.full((1 << SLOT_BITS) + 4096, -1, np.int64)
         self.slot_rule = np.full_like(self.slot_key, NO_MERGE)
-        self.probes = 1
         for key, at, rule in zip(keys.tolist(), home.tolist(), self.rule.values()):
             to = at
             while self.slot_key[to] >= 0:
                 to += 1
             self.slot_key[to], self.slot_rule[to] = key, rule
-            self.probes = max(self.probes, to - at + 1)
 
     # -- merging
 
@@ -267,11 +266,15 @@ class Bpe:
         """For pairs of tokens their rule (rank and result in one integer), or NO_MERGE."""
         key = a << 20 | b
         slot = (key.view(np.uint64) * SPREAD >> np.uint64(64 - SLOT_BITS)).view(np.int64)
-        out = np.where(self.slot_key[slot] == key, self.slot_rule[slot], NO_MERGE)
-        for step in range(1, self.probes):
-            at = slot + step
-            hit = self.slot_key[at] == key
-            out[hit] = self.slot_rule[at[hit]]
+        there = self.slot_key[slot]
+        out = np.where(there == key, self.slot_rule[slot], NO_MERGE)
+        todo = np.flatnonzero((there != key) & (there >= 0))
+        while len(todo):  # the next slots, until an empty one
+            slot[todo] += 1
+            there = self.slot_key[slot[todo]]
+            hit = there == key[todo]
+            out[todo[hit]] = self.slot_rule[slot[todo[hit]]]
+            todo = todo[~hit & (there >= 0)]
         return out
 
     def merge_many(self, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -355,15 +358,20 @@ class Bpe:
         code, unique = pd.factorize(key[short])
         chosen = np.empty(len(unique), np.int64)
         chosen[code[::-1]] = short[::-1]
-        agree = check[short] == check[chosen[code]]
         if len(self.known) > CACHE:
             self._forget()
-        where = np.fromiter((self.known.get(k, -1) for k in unique.tolist()), np.int64, len(unique))
+        place = np.searchsorted(self.known, unique)
+        where = np.full(len(unique), -1)
+        if len(self.known):
+            near = np.minimum(place, len(self.known) - 1)
+            where = np.where(self.known[near] == unique, self.known_slot[near], -1)
+        other = np.zeros(len(unique), bool)  # remembered under this hash is another piece
         found = np.flatnonzero(where >= 0)
-        where[found[self.kept_check[where[found]] != check[chosen[found]]]] = -1
+        other[found] = self.kept_check[where[found]] != check[chosen[found]]
         fresh = np.flatnonzero(where < 0)
+        fresh = fresh[np.argsort(unique[fresh], kind="stable")]
         # pieces coded by themselves: long ones, and those whose hashes meet by chance
-        alone = np.sort(np.r_[np.flatnonzero(size > SHORT), short[~agree]])
+        alone = np.sort(np.r_[np.flatnonzero(size > SHORT), short[(check[short] != check[chosen[code]]) | other[code]]])
         todo = np.r_[chosen[fresh], alone]
         tokens, counts = self.transduce_many(coded, byte_at[todo], size[todo])
         begin = len(self.kept_check)
@@ -377,7 +385,8 @@ class Bpe:
         ends = np.cumsum(count)
         ids = pool[np.repeat(pool_at[slot] - (ends - count), count) + np.arange(ends[-1])]
         # the short ones are remembered
-        self.known.update(zip(unique[fresh].tolist(), where[fresh].tolist()))
+        self.known = np.insert(self.known, place[fresh], unique[fresh])
+        self.known_slot = np.insert(self.known_slot, place[fresh], where[fresh])
         self.kept_at = pool_at[: begin + len(fresh) + 1]
         self.kept = pool[: self.kept_at[-1]].copy() if len(alone) else pool
         self.kept_check = np.r_[self.kept_check, check[chosen[fresh]]]
