@@ -12,8 +12,8 @@ keys, small ones give all pairs, larger ones a star: pairs of their first member
 one.  Pairs of several tables are one candidate; those whose sizes alone rule a link out are
 dropped, the others confirmed on their full sets.  (3) A star whose ends are all in its first
 member's component has nothing left to find.  The members of the others are compared across
-components by an exact prefix filter, so no candidate is capped away.  (4) Components of all
-links, by star contraction in the shared folder.
+components by an exact prefix and position filter, so no candidate is capped away.  (4) Components
+of all links, by star contraction in the shared folder.
 
 Defined results: null texts and texts without words have an empty set, are linked with nothing
 and are their own component.  Rows that share a doc_id count as one node, also where their texts differ:
@@ -26,6 +26,7 @@ as a block of its own, and its set is held by one task at a time.  Ties (similar
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,6 +44,8 @@ _LOWER[65:91] += 32
 SMALL = 8
 #: Rows of buckets that are held before they go out, and rows of one bucket before it goes out in stretches.
 HELD, STRETCH = 200_000, 2_000_000
+#: How much larger the sizes of one band are than those of the band before.
+BAND = 1.02
 #: Rows of ids, at most, that are broadcast to find candidates' texts; more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Rows with whole sets in one batch between the JVM and Python.
@@ -229,18 +232,28 @@ def _heads(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _meetings(heads: DataFrame, percent: int) -> DataFrame:
-    """Rows (a, b, their n and rest) of different labels that meet in a shingle of their heads.
+    """Rows (a, b, their n and rest) of different labels that meet in a shingle of their heads, ``a`` in a band of sizes not above that of ``b``.
 
-    Labels are paired first, shingle by shingle, and only then expanded to their members, so
-    members of one label never meet each other.  Of a pair the one with fewer shingles, ``a``, needs only the
-    first n - ceil(2 * n * percent / (100 + percent)) + 1: what the larger one must share with it is more.
+    A pair must share percent / (100 + percent) of both sizes together, and no more than what follows its
+    first shared shingle in either.  So how far a shingle may be from the front depends on the other's
+    size, and each row is dealt to just those bands of partners' sizes for which it is near enough.
+    Labels are paired first, and only then expanded to their members: members of one label never meet.
     """
-    fewer = F.col("n") - F.ceil(2 * F.col("n") * percent / (100 + percent)) + 1
-    head = heads.where(F.col("n") - F.col("rest") + 1 <= fewer)
-    labels = head.select("shingle", "label").distinct().join(heads.select("shingle", F.col("label").alias("b_label")).distinct(), "shingle").where("label <> b_label")
-    left = head.select("shingle", "label", F.col("doc").alias("a"), F.col("n").alias("a_n"), F.col("rest").alias("a_rest"))
-    right = heads.select("shingle", F.col("label").alias("b_label"), F.col("doc").alias("b"), F.col("n").alias("b_n"), F.col("rest").alias("b_rest"))
-    return left.join(labels, ["shingle", "label"]).join(right, ["shingle", "b_label"]).select("a", "b", "a_n", "b_n", "a_rest", "b_rest")
+    band = lambda n: F.floor(F.log(n) / math.log(BAND)).cast("int")
+    n, least = F.col("n"), F.ceil(F.col("n") * percent / 100)
+    most = F.floor(F.col("n") * 100 / percent)
+
+    def side(other: str, low: Column, high: Column, floor: Column) -> DataFrame:
+        """Rows by the partner's band ``other``; ``floor``: the partner's least size whatever its band."""
+        dealt = heads.withColumn("own", band(n)).withColumn(other, F.explode(F.sequence(band(low), band(high))))
+        smallest = F.greatest(F.pow(F.lit(BAND), F.col(other)) - 1e-6, floor)
+        return dealt.where(F.col("rest") >= percent / (100 + percent) * (n + smallest) - 1e-6)
+
+    key = ["shingle", "band_a", "band_b"]
+    left = side("band_b", n, most, n).withColumnRenamed("own", "band_a").select(*key, "label", F.col("doc").alias("a"), F.col("n").alias("a_n"), F.col("rest").alias("a_rest"))
+    right = side("band_a", least, n, least).withColumnRenamed("own", "band_b").select(*key, F.col("label").alias("b_label"), F.col("doc").alias("b"), F.col("n").alias("b_n"), F.col("rest").alias("b_rest"))
+    labels = left.select(*key, "label").distinct().join(right.select(*key, "b_label").distinct(), key).where("label <> b_label")
+    return left.join(labels, [*key, "label"]).join(right, [*key, "b_label"]).select("a", "b", "a_n", "b_n", "a_rest", "b_rest")
 
 
 def _prefix_pairs(heads: DataFrame, percent: int) -> DataFrame:
@@ -281,20 +294,25 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, values:
     label = lambda x: named.select(F.col("node").alias(x), F.col("component").alias(f"{x}_label"))
     apart = checked.where("star and not linked").select("a", "b").unionByName(pairs.where("star and not fits").select("a", "b"))
     apart = apart.join(label("a"), "a", "left").join(label("b"), "b", "left").where(F.coalesce("a_label", "a") != F.coalesce("b_label", "b"))
-    open_ids = pairs.where("star").join(apart.select("a").distinct(), "a", "left_semi").select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-    open_docs = open_ids.join(classes.select("doc", "n"), "doc").join(label("doc"), "doc", "left").select("doc", "n", F.coalesce("doc_label", "doc").alias("label"))
+    mixed = materialise(apart.select(F.col("a").alias("f")).distinct(), "mixed")
+    stars = pairs.where("star").select(F.col("a").alias("f"), "b").join(mixed, "f").select("f", F.explode(F.array("f", "b")).alias("doc")).distinct()
+    open_docs = stars.select("doc").distinct().join(classes.select("doc", "n"), "doc").join(label("doc"), "doc", "left").select("doc", "n", F.coalesce("doc_label", "doc").alias("label"))
     open_docs = materialise(open_docs, "open")
-    done.append(open_docs)
+    done += [mixed, open_docs]
+    merged = None  # components of components
     if not open_docs.isEmpty():
         heads = _heads(open_docs, sets, percent)
-        rest = _prefix_pairs(heads, percent).join(pairs.where("fits"), ["a", "b"], "left_anti")
-        more = materialise(rest.withColumn("star", F.lit(False)), "pairs")
-        late = materialise(_confirm(more, sets, percent).where("linked").select("a", "b"), "links", PAIR_ROWS)
-        done += [heads, more, late]
+        asked = materialise(_prefix_pairs(heads, percent).join(pairs.where("fits"), ["a", "b"], "left_anti").withColumn("star", F.lit(False)), "pairs")
+        of = lambda x: open_docs.select(F.col("doc").alias(x), F.col("label").alias(f"{x}_label"))
+        linked = _confirm(asked, sets, percent).where("linked").join(of("a"), "a").join(of("b"), "b")
+        late = materialise(linked.select(F.col("a_label").alias("a"), F.col("b_label").alias("b")).distinct(), "links", PAIR_ROWS)
+        done += [heads, asked, late]
         if not late.isEmpty():
-            named = components(links.unionByName(late))
-            done.append(named)
+            merged = components(late)
+            done.append(merged)
     known = classes.select("digest", "doc", "class").join(named, F.col("doc") == F.col("node"), "left").select("digest", "class", F.coalesce("component", "doc").alias("component"))
+    if merged is not None:
+        known = known.join(merged.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("digest", "class", F.coalesce("to", "component").alias("component"))
     if by_digest:
         known = known.join(known.groupBy("component").agg(F.min("class").alias("least")), "component").select("digest", F.col("least").alias("component"))
     placed = signed.select("doc_id", "n_shingles", "digest").join(known.select("digest", "component"), "digest", "left")
