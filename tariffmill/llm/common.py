@@ -61,6 +61,17 @@ def drop_tables(spark: SparkSession, *tables: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns of an operator's own, like these, that no column of ``df`` has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name in taken:
+            name = "_" + name
+        out.append(name)
+        taken.add(name)
+    return out
+
+
 def plain(df: DataFrame, *columns: str) -> DataFrame:
     """Just the named columns, so extra columns with clashing names cannot interfere."""
     return df.select(*[F.col(c) for c in columns])

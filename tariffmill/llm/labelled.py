@@ -17,8 +17,10 @@ def sample_labels(labels: DataFrame, label: str, train: Column, most: int, key:
     counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect() if r["label"] in (0, 1)}
     parts = []
     for value, n in sorted(counts.items()):
-        share = F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int(min(1.0, most / n) * (1 << 30))
-        parts.append(rows.where((F.col("label") == value) & share).limit(most).withColumn("of", F.lit(n).cast("long")))
+        # those of the smallest hashes, whatever the order of rows; a threshold somewhat above leaves few to sort
+        place = F.pmod(F.xxhash64(key), F.lit(1 << 30))
+        near = place < int(min(1.0, 1.2 * most / n + 100 / n) * (1 << 30))
+        parts.append(rows.where((F.col("label") == value) & near).orderBy(place, key).limit(most).withColumn("of", F.lit(n).cast("long")))
     out = labels.select(key).limit(0).withColumn("label", F.lit(0)).withColumn("of", F.lit(0).cast("long"))
     for part in parts:
         out = out.unionByName(part)

@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 
 from .blocks import release
 from .bpe import model
-from .common import materialise
+from .common import free_names, materialise
 
 Pattern = tuple[tuple[int, ...], int]
 
@@ -169,37 +169,49 @@ def _runs(plan: list[Pattern]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
 
 
 def pack(pieces: DataFrame, capacity: int = 2048, length: str = "length") -> DataFrame:
-    """The rows of ``pieces`` with sequence_id and offset; lengths must be 1 to ``capacity``."""
+    """The rows of ``pieces`` with sequence_id and offset, which replace columns of these names.
+
+    Rows whose length is null, or not 1 to ``capacity``, fit nowhere: they come back with both null.
+    """
+    pieces = pieces.drop("sequence_id", "offset")
     schema = pieces.schema
-    tagged_schema = T.StructType([*schema.fields, T.StructField("_part", T.IntegerType()), T.StructField("_rank", T.LongType())])
+    part_, rank_, size_, before_ = free_names(pieces, "part", "rank", "size", "before")
+    tagged_schema = T.StructType([*schema.fields, T.StructField(part_, T.IntegerType()), T.StructField(rank_, T.LongType()), T.StructField(size_, T.LongType())])
     where = schema.names.index(length)
 
     def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            n = batch.column(where).to_numpy(zero_copy_only=False).astype(np.int64)
+            n = batch.column(where).cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False).copy()
+            n[(n < 1) | (n > capacity)] = 0
             order = np.argsort(n, kind="stable")
             first = np.searchsorted(n[order], n[order])
             rank = np.empty(len(n), np.int64)
             rank[order] = seen[n[order]] + np.arange(len(n)) - first
             seen += np.bincount(n, minlength=capacity + 1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(n), part, np.int32)), pa.array(rank)], tagged_schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(n), part, np.int32)), pa.array(rank), pa.array(n)], tagged_schema.names)
 
     # two Python steps in one task would keep twice the workers, each with a vocabulary
     tagged = materialise(materialise(pieces, "pieces").mapInArrow(tag, tagged_schema), "tagged_pieces", 50_000)
-    by_part = materialise(tagged.groupBy(F.col(length).alias("_length"), F.col("_part").alias("_of")).agg(F.count("*").alias("_n")), "piece_counts")
-    counts = {r["_length"]: r["_n"] for r in by_part.groupBy("_length").agg(F.sum("_n").alias("_n")).collect()}
+    by_part = materialise(tagged.groupBy(size_, part_).agg(F.count("*").alias("n")), "piece_counts")
+    counts = {r[size_]: r["n"] for r in by_part.where(F.col(size_) > 0).groupBy(size_).agg(F.sum("n").alias("n")).collect()}
     keys, sequences, widths, begins, offsets = _runs(plan_packing(counts, capacity))
-    before = Window.partitionBy("_length").orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
-    based = by_part.select("_length", "_of", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    ranked = tagged.join(based, (F.col(length) == F.col("_length")) & (F.col("_part") == F.col("_of"))).withColumn("_rank", F.col("_rank") + F.col("_before")).select(*schema.names, "_rank")
+    earlier = Window.partitionBy(size_).orderBy(part_).rowsBetween(Window.unboundedPreceding, -1)
+    based = by_part.select(size_, part_, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias(before_))
+    ranked = tagged.join(based, [size_, part_]).select(*[F.col(f"`{c}`") for c in schema.names], size_, (F.col(rank_) + F.col(before_)).alias(rank_))
     out_schema = T.StructType([*schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, rank = batch.column(where).to_numpy(zero_copy_only=False).astype(np.int64), batch.column(batch.num_columns - 1).to_numpy()
-            run = np.searchsorted(keys, n << 40 | rank, side="right") - 1
-            within = rank - (keys[run] & ((1 << 40) - 1))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sequences[run] + within // widths[run]), pa.array(offsets[begins[run] + within % widths[run]])], out_schema.names)
+            n, rank = batch.column(batch.num_columns - 2).to_numpy(), batch.column(batch.num_columns - 1).to_numpy()
+            fits = np.flatnonzero(n > 0)
+            run = np.searchsorted(keys, n[fits] << 40 | rank[fits], side="right") - 1
+            within = rank[fits] - (keys[run] & ((1 << 40) - 1))
+            made = []
+            for x in (sequences[run] + within // widths[run], offsets[begins[run] + within % widths[run]]) if len(fits) else (fits, fits):
+                full = np.zeros(len(n), np.int64)
+                full[fits] = x
+                made.append(pa.array(full, mask=n == 0))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *made], out_schema.names)
 
     return ranked.mapInArrow(place, out_schema)
