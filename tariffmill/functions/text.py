@@ -92,7 +92,7 @@ def qualifiers(c: Column | str) -> Column:
     """The sorted names of the qualifier groups whose words a name contains."""
     text = normalize_text(c)
     found = []
-    for group, words in vocab.lists(vocab.QUALIFIERS).items():
+    for group, words in vocab.QUALIFIERS.items():
         has = F.lit(False)
         for w in words:
             has = has | text.contains(w)
@@ -102,14 +102,14 @@ def qualifiers(c: Column | str) -> Column:
 
 def plain_qualifiers(value: str | None) -> list[str]:
     text = plain_text(value)
-    return [g for g, words in vocab.lists(vocab.QUALIFIERS).items() if any(w in text for w in words)]
+    return [g for g, words in vocab.QUALIFIERS.items() if any(w in text for w in words)]
 
 
 @lru_cache(maxsize=1)
 def synonym_index() -> dict[str, str]:
     """Normalised name or synonym to normalised canonical name; canonical names always stand for themselves."""
     index: dict[str, str] = {}
-    for canonical, synonyms in vocab.service_synonyms().items():
+    for canonical, synonyms in vocab.SERVICE_SYNONYMS.items():
         name = plain_name(canonical)
         index[name] = name
         for s in synonyms:
@@ -124,7 +124,7 @@ def synonym_of(c: Column | str) -> Column:
 def expand_query(value: str) -> list[str]:
     """All terms of the group a query belongs to, normalised; or the query alone."""
     name = plain_name(value)
-    for group in vocab.search_groups():
+    for group in vocab.SEARCH_GROUPS:
         terms = list(dict.fromkeys(map(plain_name, group)))
         if name in terms:
             return terms
@@ -184,7 +184,7 @@ def has_contrast(c: Column | str) -> Column:
 def city_from_path(url: Column | str, default: str = "Алматы") -> Column:
     """The city named by a part of a URL's path."""
     low, out = F.lower(_column(url)), F.lit(default)
-    for part, city in reversed([x.split() for x in vocab.URL_CITIES.split(", ")]):
+    for part, city in reversed(vocab.URL_CITIES.items()):
         out = F.when(low.contains(f"/{part}/"), city).otherwise(out)
     return out
 

@@ -83,11 +83,11 @@ def alert_counts(alerts: DataFrame, today: Column) -> DataFrame:
     return alerts.agg(F.count("*").alias("total"), F.count_if("is_active").alias("active"), F.count_if(F.col("last_triggered_at").cast("date") == today).alias("triggered_today"))
 
 
-def evaluate_schedule(sources: DataFrame, runs: DataFrame, now: Column) -> DataFrame:
+def evaluate_schedule(sources: DataFrame, runs: DataFrame, now: Column, most_jitter: int = 30) -> DataFrame:
     """source_id, should_run, reason, next_run_at: live and enabled sources run when their interval since the last success has passed."""
     last = runs.where("status = 'success'").groupBy("source_id").agg(F.max("finished_at").alias("last_success"))
     c = F.col
-    due = next_run("last_success", frequency_hours("priority"), jitter_minutes("source_id"))
+    due = next_run("last_success", frequency_hours("priority"), jitter_minutes("source_id", most_jitter))
     s = sources.join(last, "source_id", "left")
     able = (c("mode") == "live") & c("enabled")
     reason = F.when(c("mode") != "live", F.concat(F.lit("Source mode is "), c("mode"), F.lit(", not live"))).when(~c("enabled"), "Source disabled").when(c("last_success").isNull(), "No previous successful run").when(now >= due, "Scheduled interval elapsed").otherwise("Not due yet")

@@ -127,7 +127,10 @@ def clinics(star: Star, city: str | None = None, category: str | None = None) ->
         if category:
             rows = rows.where(F.col("category") == category)
         chosen = chosen.join(rows.select("clinic_id").distinct(), "clinic_id", "left_semi")
-    counted = services.groupBy("clinic_id").agg(F.count_distinct("service_id").alias("service_count"), F.count_distinct("branch_id").alias("branch_count"), F.max("observed_at").alias("last_updated"))
+    # two plain counts of distinct pairs, each partly aggregated before it moves, in place of two distinct counts that would multiply every price
+    by_service = services.groupBy("clinic_id", "service_id").agg(F.max("observed_at").alias("seen")).groupBy("clinic_id").agg(F.count("service_id").alias("service_count"), F.max("seen").alias("last_updated"))
+    by_branch = services.select("clinic_id", "branch_id").distinct().groupBy("clinic_id").agg(F.count("branch_id").alias("branch_count"))
+    counted = by_service.join(by_branch, "clinic_id").select("clinic_id", "service_count", "branch_count", "last_updated")
     return chosen.join(counted, "clinic_id", "left").na.fill(0, ["service_count", "branch_count"])
 
 

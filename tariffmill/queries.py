@@ -8,17 +8,22 @@ leaves as double and dates as text, so both engines give one type.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import rules
 from .functions import text as X
 from .functions import vocab
 from .operators import match, state, upsert, validate, workflow
+from .operators.lake import Lake
+from .plans import ingest
 from .plans import star as S
+from .session import shared_dir
 from .sources import documents
+from .sources.payloads import ROW
 from .streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,11 +78,26 @@ def mean_sql(x: str) -> str:
     return f"CAST(({s} // {n} + CASE WHEN 2 * ({s} % {n}) > {n} OR (2 * ({s} % {n}) = {n} AND ({s} // {n}) % 2 = 1) THEN 1 ELSE 0 END) AS DOUBLE) / 100"
 
 
+_STORED: dict[tuple, str] = {}
+
+
+def stored_current(spark: SparkSession, d: str) -> DataFrame:
+    """The current prices as a stored table, as imports keep them: made from the log once in a session, and anew if the log's files change."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/lineitem.parquet")
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    key = (spark.sparkContext.applicationId, d, files.getContentSummary(path).getLength(), files.getFileStatus(path).getModificationTime())
+    if key not in _STORED:
+        made = f"{shared_dir(spark)}/current-{uuid.uuid4().hex}"
+        state.latest(observations(spark, d), ORDER).write.parquet(made)
+        _STORED[key] = made
+    return spark.read.parquet(_STORED[key])
+
+
 def star(spark: SparkSession, d: str) -> S.Star:
     yes = F.lit(True)
     places = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     return S.Star(
-        state.latest(observations(spark, d), ORDER),
+        stored_current(spark, d),
         table(spark, d, "part").select(F.col("p_partkey").alias("service_id"), F.col("p_name").alias("service_name"), F.col("p_brand").alias("category"), F.col("p_type").alias("canonical_name"), yes.alias("service_active")),
         table(spark, d, "supplier").select(F.col("s_suppkey").alias("clinic_id"), F.col("s_name").alias("clinic_name"), yes.alias("clinic_active")),
         places.select(F.col("s_suppkey").alias("branch_id"), F.col("n_name").alias("city"), F.col("r_name").alias("region"), yes.alias("branch_active")),
@@ -230,11 +250,12 @@ def batch_status(spark: SparkSession, d: str) -> DataFrame:
     return counted.withColumn("status", rules.batch_status(F.col("good"), F.col("bad")))
 
 
-@query("WITH s AS (SELECT s_suppkey AS id, s_name AS name, s_acctbal AS balance FROM supplier WHERE s_suppkey % 3 <> 0), n AS (SELECT s_suppkey + 50 AS id, s_name || '!' AS name, CASE WHEN s_suppkey % 2 = 0 THEN s_acctbal END AS balance FROM supplier WHERE s_suppkey % 5 = 0) SELECT coalesce(s.id, n.id) AS id, CASE WHEN n.id IS NOT NULL THEN n.name ELSE s.name END AS name, coalesce(CASE WHEN n.id IS NOT NULL THEN n.balance ELSE s.balance END, -1) AS balance, CASE WHEN s.id IS NULL THEN 'inserted' WHEN n.id IS NULL THEN 'kept' ELSE 'updated' END AS action FROM s FULL JOIN n ON s.id = n.id")
+@query("WITH s AS (SELECT s_suppkey AS id, s_name AS name, s_acctbal AS balance FROM supplier), n AS (SELECT s_suppkey + 50 AS id, s_name || '!' AS name, CASE WHEN s_suppkey % 2 = 0 THEN s_acctbal END AS balance FROM supplier) SELECT coalesce(s.id, n.id) AS id, CASE WHEN n.id IS NOT NULL THEN n.name ELSE s.name END AS name, coalesce(CASE WHEN n.id IS NOT NULL THEN n.balance ELSE s.balance END, -1) AS balance, CASE WHEN s.id IS NULL THEN 'inserted' WHEN n.id IS NULL THEN 'kept' ELSE 'updated' END AS action FROM s FULL JOIN n ON s.id = n.id")
 def upsert_full_outer(spark: SparkSession, d: str) -> DataFrame:
+    """All suppliers, and all of them again under keys moved by 50."""
     s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance"))
-    new = s.where("id % 5 = 0").select((F.col("id") + 50).alias("id"), F.concat("name", F.lit("!")).alias("name"), F.when(F.col("id") % 2 == 0, F.col("balance")).alias("balance"))
-    return upsert.upsert(s.where("id % 3 <> 0"), new, ["id"]).na.fill(-1.0, ["balance"])
+    new = s.select((F.col("id") + 50).alias("id"), F.concat("name", F.lit("!")).alias("name"), F.when(F.col("id") % 2 == 0, F.col("balance")).alias("balance"))
+    return upsert.upsert(s, new, ["id"]).na.fill(-1.0, ["balance"])
 
 
 @query("WITH s AS (SELECT c_custkey AS id, c_custkey % 40 AS ext, c_nationkey AS city, c_mktsegment AS name FROM customer WHERE c_custkey % 2 = 0), p AS (SELECT ext, min(id) AS id FROM s GROUP BY 1), f AS (SELECT city, name, min(id) AS id FROM s GROUP BY 1, 2) SELECT c_custkey AS row_id, coalesce(p.id, f.id, -1) AS id FROM customer c LEFT JOIN p ON p.ext = c.c_custkey % 80 LEFT JOIN f ON f.city = c.c_nationkey AND f.name = c.c_mktsegment")
@@ -340,9 +361,9 @@ def review_transitions(spark: SparkSession, d: str) -> DataFrame:
 # -- text
 
 
-@query("SELECT doc_id, trim(regexp_replace(replace(lower(substr(text, 1, 200)), 'ё', 'е'), '\\s+', ' ', 'g')) AS normalized FROM documents")
+@query("SELECT doc_id, trim(regexp_replace(replace(lower(text), 'ё', 'е'), '\\s+', ' ', 'g')) AS normalized FROM documents")
 def normalize_text(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", X.normalize_text(F.substring("text", 1, 200)).alias("normalized"))
+    return table(spark, d, "documents").select("doc_id", X.normalize_text("text").alias("normalized"))
 
 
 @query("SELECT doc_id, trim(regexp_replace(replace(lower(text), 'ё', 'е'), '\\s+', ' ', 'g')) AS normalized FROM documents")
@@ -361,25 +382,38 @@ def normalize_name(spark: SparkSession, d: str) -> DataFrame:
 NAMES = [("мрт головы с контрастом срочно", 0), ("узи", 1), ("детский комплекс пцр", 2), ("ЭКГ right", 3), ("Нур-Султан", 4), ("Almaty", 5), ("OAK", 6), ("cbc", 7), ("CT", 8), ("12 500,50 тг", 9), ("1.2.3", 10), ("до 3 дней", 11), ("вес от 60 кг", 12), ("https://x.example/shymkent/a", 13), ("Ёж  ё", 14), ("", 15)]
 
 
-def names(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(k, n) for n, k in NAMES], "id long, name string")
+def in_turn(values: list[str], k: Column) -> Column:
+    return F.element_at(F.array(*map(F.lit, values)), (k % len(values) + 1).cast("int"))
+
+
+def in_turn_sql(values: list[str], k: str) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + f"][{k} % {len(values)} + 1]"
+
+
+def names(spark: SparkSession, d: str) -> DataFrame:
+    """Names of all parts, each after one of NAMES in turn."""
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", in_turn([n for n, _ in NAMES], F.col("p_partkey")), "p_name").alias("name"))
 
 
-NAMES_SQL = "names AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, '{n}')" for n, k in NAMES) + ") AS t(id, name))"
-GROUP_SQL = "concat_ws(',', " + ", ".join("CASE WHEN " + " OR ".join(f"contains(lower(name), '{w}')" for w in words) + f" THEN '{g}' END" for g, words in vocab.lists(vocab.QUALIFIERS).items()) + ")"
+NAMES_SQL = f"names AS (SELECT p_partkey AS id, {in_turn_sql([n for n, _ in NAMES], 'p_partkey')} || ' ' || p_name AS name FROM part)"
+GROUP_SQL = "concat_ws(',', " + ", ".join("CASE WHEN " + " OR ".join(f"contains(lower(name), '{w}')" for w in words) + f" THEN '{g}' END" for g, words in vocab.QUALIFIERS.items()) + ")"
 
 
 @query(f"WITH {NAMES_SQL} SELECT CAST(id AS BIGINT) AS id, {GROUP_SQL} AS qualifiers FROM names")
 def qualifiers(spark: SparkSession, d: str) -> DataFrame:
-    return names(spark).select("id", F.array_join(X.qualifiers("name"), ",").alias("qualifiers"))
+    return names(spark, d).select("id", F.array_join(X.qualifiers("name"), ",").alias("qualifiers"))
 
 
 ALIAS_SQL = "aliases AS (SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in vocab.city_aliases().items()) + ") AS t(form, city))"
 
 
-@query(f"WITH {NAMES_SQL}, {ALIAS_SQL} SELECT CAST(id AS BIGINT) AS id, coalesce(city, trim(regexp_replace(replace(lower(name), 'ё', 'е'), '\\s+', ' ', 'g'))) AS city FROM names LEFT JOIN aliases ON form = lower(name)")
+FORMS = [*vocab.city_aliases(), "Ёж  ё", "Almaty", "Нур-Султан", ""]
+
+
+@query(f"WITH {ALIAS_SQL}, named AS (SELECT c_custkey AS id, {in_turn_sql(FORMS, 'c_custkey')} AS name FROM customer) SELECT id, coalesce(city, trim(regexp_replace(replace(lower(name), 'ё', 'е'), '\\s+', ' ', 'g'))) AS city FROM named LEFT JOIN aliases ON form = lower(name)")
 def city_alias(spark: SparkSession, d: str) -> DataFrame:
-    return names(spark).select("id", X.normalize_city("name").alias("city"))
+    """All customers, in the cities of FORMS in turn."""
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), X.normalize_city(in_turn(FORMS, F.col("c_custkey"))).alias("city"))
 
 
 @query(f"WITH {ALIAS_SQL} SELECT city, string_agg(form, ',' ORDER BY form) AS aliases FROM aliases GROUP BY 1")
@@ -388,13 +422,14 @@ def city_alias_reverse(spark: SparkSession, d: str) -> DataFrame:
     return S.city_aliases_reversed(aliases).select("city", F.array_join("aliases", ",").alias("aliases"))
 
 
-TERMS_SQL = "(VALUES " + ", ".join(f"('{t}')" for t in X.expand_query("mri") + X.expand_query("CT")) + ") AS t(term)"
+#: What the queries "mri" and "CT" stand for, written out for the SQL.
+TERMS_SQL = "(VALUES ('mri'), ('мрт'), ('magnetic resonance imaging'), ('магнитно-резонансная томография'), ('ct'), ('кт'), ('computed tomography')) AS t(term)"
 
 
 @query(f"WITH {NAMES_SQL} SELECT term, count(*) AS hits FROM names, {TERMS_SQL} WHERE contains(lower(name), term) GROUP BY 1")
 def query_expansion(spark: SparkSession, d: str) -> DataFrame:
     terms = X.expand_query("mri") + X.expand_query("CT")
-    hits = names(spark).agg(*[F.count_if(F.lower("name").contains(t)).alias(f"t{i}") for i, t in enumerate(terms)])
+    hits = names(spark, d).agg(*[F.count_if(F.lower("name").contains(t)).alias(f"t{i}") for i, t in enumerate(terms)])
     return hits.select(F.inline(F.array(*[F.struct(F.lit(t).alias("term"), F.col(f"t{i}").alias("hits")) for i, t in enumerate(terms)]))).where("hits > 0")
 
 
@@ -417,7 +452,7 @@ def duration_parse(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {NAMES_SQL} SELECT CAST(id AS BIGINT) AS id, regexp_extract(lower(name), 'вес\\s+(?:от\\s+)?([0-9]+)\\s*(?:кг)?', 0) AS weight, CASE WHEN contains(lower(name), 'контраст') THEN 1 ELSE 0 END AS contrast, CASE WHEN contains(lower(name), '/shymkent/') THEN 'Шымкент' ELSE 'Алматы' END AS city FROM names")
 def name_flags(spark: SparkSession, d: str) -> DataFrame:
-    return names(spark).select("id", F.coalesce(X.weight_limit("name"), F.lit("")).alias("weight"), X.has_contrast("name").cast("int").alias("contrast"), X.city_from_path("name").alias("city"))
+    return names(spark, d).select("id", F.coalesce(X.weight_limit("name"), F.lit("")).alias("weight"), X.has_contrast("name").cast("int").alias("contrast"), X.city_from_path("name").alias("city"))
 
 
 # -- validation
@@ -463,10 +498,63 @@ def profile_triage(spark: SparkSession, d: str) -> DataFrame:
     return p.select(F.col("p_partkey").alias("id"), validate.triage(cells, 1, 2, 0, 1500)["disposition"].alias("disposition"))
 
 
-@query("SELECT page_id, CASE WHEN contains(lower(url), '/1') THEN 1 ELSE 0 END AS allowed FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]+(/[^?#]*)', 1) AS url FROM pages) WHERE starts_with(url, '/')")
+@query("SELECT page_id, CASE WHEN (starts_with(path, '/e') OR starts_with(path, '/d')) AND NOT starts_with(path, '/es') THEN 1 ELSE 0 END AS allowed FROM (SELECT page_id, coalesce(nullif(regexp_extract(url, '^[a-z]+://[^/?#]+(/[^?#]*)', 1), ''), '/') AS path FROM pages)")
 def url_paths(spark: SparkSession, d: str) -> DataFrame:
-    path = F.try_parse_url(F.col("url"), F.lit("PATH"))
-    return table(spark, d, "pages").where(F.startswith(path, F.lit("/"))).select("page_id", F.lower(path).contains("/1").cast("int").alias("allowed"))
+    prefixes = lambda *p: F.array(*map(F.lit, p))
+    return table(spark, d, "pages").select("page_id", validate.path_allowed(F.col("url"), prefixes("/e", "/d"), prefixes("/es")).cast("int").alias("allowed"))
+
+
+def payload_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The same rows numbered within their order, with their clinics, each known to three sources, as ``import_batch`` takes them."""
+    li = table(spark, d, "lineitem")
+    place = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "l_returnflag")
+    li = li.withColumn("row", F.row_number().over(place))
+    text = lambda c: F.col(c).cast("string")
+    k, no = F.col("l_partkey") % 11, F.lit(None).cast("string")
+    spot = lambda ext, name: F.struct(ext.alias("external_id"), name.alias("name"), F.concat(F.lit("city "), (F.col("l_suppkey") % 7).cast("string")).alias("city"), no.alias("address"))
+    return li.select(
+        F.lpad(text("l_orderkey"), 12, "0").alias("batch_id"),
+        F.col("row").alias("row_index"),
+        F.concat(F.lit("source "), "l_returnflag").alias("source"),
+        spot(text("l_suppkey"), F.concat(F.lit("Clinic "), text("l_suppkey"))).alias("clinic"),
+        spot(no, F.lit("Default branch")).alias("branch"),
+        text("l_partkey").alias("external_id"),
+        F.when(k == 0, "  ").otherwise(F.concat(F.lit("svc "), text("l_partkey"))).alias("name"),
+        F.lit("lab").alias("category"),
+        no.alias("description"),
+        F.when(k == 1, -F.col("l_extendedprice")).otherwise(F.col("l_extendedprice")).cast("string").alias("price"),
+        F.when(k == 2, "").otherwise("kzt").alias("currency"),
+        F.when(k == 3, "soon").otherwise(F.col("l_shipdate").cast("date").cast("string")).alias("updated_at"),
+        F.when(k == 4, "ftp://a").otherwise("https://a.example/p").alias("source_url"),
+        F.lit(None).cast("timestamp").alias("parsed_at"),
+        F.lit(None).cast("long").alias("raw_source_row_id"),
+        no.alias("raw_item"),
+        F.lit(None).cast("int").alias("duration_minutes"),
+        F.lit(None).cast("boolean").alias("is_available"),
+    ).select(*ROW)
+
+
+@query("""WITH rows AS (SELECT l_suppkey AS s, l_partkey AS p, l_orderkey AS batch_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate, l_returnflag) AS row_index, l_extendedprice, l_partkey % 11 AS k FROM lineitem), v AS (SELECT *, CAST(l_extendedprice AS DECIMAL(12,2)) AS price FROM rows WHERE k > 4),
+o AS (SELECT *, lag(price) OVER w AS before, first_value(price) OVER (PARTITION BY s, p ORDER BY batch_id DESC, row_index DESC) AS last FROM v WINDOW w AS (PARTITION BY s, p ORDER BY batch_id, row_index)),
+obs AS (SELECT 1 AS version, CASE WHEN before IS NULL THEN 'created' WHEN before = price THEN 'unchanged' ELSE 'updated' END AS status FROM o UNION ALL SELECT 2, CASE WHEN coalesce(before, last) = price THEN 'unchanged' ELSE 'updated' END FROM o)
+SELECT 'observations' AS "table", CAST(version AS BIGINT) AS version, status, count(*) AS n FROM obs GROUP BY ALL UNION ALL SELECT 'history', version, status, count(*) FROM obs WHERE status <> 'unchanged' GROUP BY ALL
+UNION ALL SELECT 'rejects', version, 'VALIDATION_ERROR', count(*) FROM rows, (VALUES (1), (2)) AS t(version) WHERE k <= 4 GROUP BY ALL UNION ALL SELECT 'raw_rows', version, CASE WHEN k > 4 THEN 'valid' ELSE 'invalid' END, count(*) FROM rows, (VALUES (1), (2)) AS t(version) GROUP BY ALL
+UNION ALL SELECT 'batches', version, CASE WHEN good = n THEN 'success' WHEN good = 0 THEN 'failed' ELSE 'partial_success' END, count(*) FROM (SELECT batch_id, count(*) AS n, count(*) FILTER (k > 4) AS good FROM rows GROUP BY 1), (VALUES (1), (2)) AS t(version) GROUP BY ALL
+UNION ALL SELECT 'clinics', 2, '', count(DISTINCT s) FROM v UNION ALL SELECT 'branches', 2, '', count(DISTINCT s) FROM v UNION ALL SELECT 'services', 2, '', count(DISTINCT p) FROM v UNION ALL SELECT 'categories', 2, '', 1
+UNION ALL SELECT 'sources', 2, '', count(DISTINCT l_returnflag) FROM lineitem WHERE l_partkey % 11 > 4 UNION ALL SELECT 'current', 2, '', count(DISTINCT (s, p)) FROM v""")
+def import_twice(spark: SparkSession, d: str) -> DataFrame:
+    """All line items imported, the same run replayed, and imported again under another run: rows of every table by version and status."""
+    lake, rows = Lake(spark, f"{shared_dir(spark)}/lake-{uuid.uuid4().hex}"), payload_rows(spark, d)
+    for run in ("one", "one", "two"):
+        ingest.import_batch(rows, lake.folder, run_id=run)
+    logs = {"observations": "status", "history": "change_type", "rejects": "code", "raw_rows": "validation_status", "batches": "status"}
+    counts = [lake.log(t).groupBy("version", F.col(c).alias("status")).agg(F.count("*").alias("n")).select(F.lit(t).alias("table"), "version", "status", "n") for t, c in logs.items()]
+    for t in ("clinics", "branches", "services", "categories", "sources", "current"):
+        counts.append(lake.state(t, ingest.TABLES[t][0]).agg(F.count("*").alias("n")).select(F.lit(t).alias("table"), F.lit(lake.version()).cast("long").alias("version"), F.lit("").alias("status"), "n"))
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.unionByName(c)
+    return out
 
 
 # -- workflows
@@ -487,15 +575,15 @@ SELECT alert_id, kind, coalesce(CAST(price AS DOUBLE), -1) AS price, CASE WHEN p
 
 
 @query("""WITH last AS (SELECT user_id, max(ts) AS t FROM events WHERE event_type = 'purchase' GROUP BY 1), s AS (SELECT u AS source, CASE WHEN u % 4 = 0 THEN 'manual' ELSE 'live' END AS mode, CASE WHEN u % 3 = 0 THEN 24 ELSE 48 END AS hours FROM (SELECT DISTINCT user_id AS u FROM events))
-SELECT CAST(source AS VARCHAR) AS source_id, CASE WHEN mode = 'live' AND (t IS NULL OR TIMESTAMP '2024-01-31 00:00:00' >= t + to_hours(hours)) THEN 1 ELSE 0 END AS should_run FROM s LEFT JOIN last ON user_id = source""")
+SELECT CAST(source AS VARCHAR) AS source_id, CASE WHEN mode = 'live' AND (t IS NULL OR TIMESTAMP '2024-01-31 00:00:00' >= t + to_hours(hours)) THEN 1 ELSE 0 END AS should_run,
+CASE WHEN mode <> 'live' THEN 'Source mode is manual, not live' WHEN t IS NULL THEN 'No previous successful run' WHEN TIMESTAMP '2024-01-31 00:00:00' >= t + to_hours(hours) THEN 'Scheduled interval elapsed' ELSE 'Not due yet' END AS reason FROM s LEFT JOIN last ON user_id = source""")
 def schedule_eval(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
     sources = e.select("user_id").distinct().select(F.col("user_id").cast("string").alias("source_id"), F.when(F.col("user_id") % 4 == 0, "manual").otherwise("live").alias("mode"), F.when(F.col("user_id") % 3 == 0, "P0").otherwise("P1").alias("priority"), F.lit(True).alias("enabled"))
     runs = e.where("event_type = 'purchase'").groupBy(F.col("user_id").cast("string").alias("source_id")).agg(F.max("ts").cast("timestamp").alias("finished_at")).withColumn("status", F.lit("success"))
-    due = rules.next_run("last_success", rules.frequency_hours("priority"), F.lit(0))
-    told = sources.join(runs.select("source_id", F.col("finished_at").alias("last_success")), "source_id", "left")
     at = F.lit("2024-01-31 00:00:00").cast("timestamp")
-    return told.select("source_id", ((F.col("mode") == "live") & (F.col("last_success").isNull() | (at >= due))).cast("int").alias("should_run"))
+    told = workflow.evaluate_schedule(sources, runs, at, most_jitter=0)
+    return told.select("source_id", F.col("should_run").cast("int").alias("should_run"), "reason")
 
 
 @query("SELECT c_custkey AS clinic_id, CASE WHEN c_custkey % 3 = 0 THEN 'new' ELSE c_mktsegment END AS name, CASE WHEN c_custkey % 3 = 0 THEN 'name' ELSE '' END AS filled, CASE WHEN c_custkey % 3 <> 0 AND c_custkey % 2 = 0 THEN 'name' ELSE '' END AS conflicts FROM customer")
@@ -524,18 +612,21 @@ def dq_checks(spark: SparkSession, d: str) -> DataFrame:
     return money(workflow.dq_report(out))
 
 
-@query("WITH a AS (SELECT p_brand AS slug, list_sort(list_distinct(list(p_type))) AS x FROM part WHERE p_partkey % 2 = 0 GROUP BY 1), b AS (SELECT p_brand AS slug, list_sort(list_distinct(list(p_type))) AS x FROM part WHERE p_partkey % 2 = 1 AND p_size > 40 GROUP BY 1) SELECT coalesce(a.slug, b.slug) AS slug, array_to_string(list_sort(list_distinct(list_concat(coalesce(a.x, []), coalesce(b.x, [])))), ',') AS aliases FROM a FULL JOIN b ON a.slug = b.slug")
+@query("WITH a AS (SELECT p_brand AS slug, list_sort(list_distinct(list(p_type))) AS x FROM part GROUP BY 1), b AS (SELECT 'Brand#' || CAST(p_size AS VARCHAR) AS slug, list_sort(list_distinct(list(p_name))) AS x FROM part GROUP BY 1) SELECT coalesce(a.slug, b.slug) AS slug, array_to_string(list_sort(list_distinct(list_concat(coalesce(a.x, []), coalesce(b.x, [])))), ',') AS aliases FROM a FULL JOIN b ON a.slug = b.slug")
 def alias_union(spark: SparkSession, d: str) -> DataFrame:
+    """Types of all parts by brand, and names of all parts by a brand made of their size."""
     p = table(spark, d, "part")
-    side = lambda rows: rows.groupBy(F.col("p_brand").alias("slug")).agg(F.collect_set("p_type").alias("aliases")).withColumn("name", F.col("slug")).withColumn("category", F.lit("c"))
-    return upsert.seed_catalog(side(p.where("p_partkey % 2 = 0")), side(p.where("p_partkey % 2 = 1 and p_size > 40"))).select("slug", F.array_join("aliases", ",").alias("aliases"))
+    side = lambda slug, alias: p.groupBy(slug.alias("slug")).agg(F.collect_set(alias).alias("aliases")).withColumn("name", F.col("slug")).withColumn("category", F.lit("c"))
+    stored, seed = side(F.col("p_brand"), "p_type"), side(F.concat(F.lit("Brand#"), F.col("p_size").cast("string")), "p_name")
+    return upsert.seed_catalog(stored, seed).select("slug", F.array_join("aliases", ",").alias("aliases"))
 
 
-@query("WITH a AS (SELECT DISTINCT c_nationkey AS k FROM customer WHERE c_custkey % 7 = 0), b AS (SELECT DISTINCT s_nationkey AS k FROM supplier WHERE s_suppkey % 3 = 0) SELECT CAST(k AS BIGINT) AS k, 'expected' AS side FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT CAST(k AS BIGINT), 'actual' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)")
+@query("WITH a AS (SELECT CAST(c_nationkey AS BIGINT) AS k FROM customer), b AS (SELECT CAST(s_nationkey AS BIGINT) AS k FROM supplier UNION ALL SELECT CAST(s_suppkey AS BIGINT) FROM supplier) SELECT k, 'expected' AS side FROM (SELECT k FROM a EXCEPT ALL SELECT k FROM b) UNION ALL SELECT k, 'actual' FROM (SELECT k FROM b EXCEPT ALL SELECT k FROM a)")
 def set_difference(spark: SparkSession, d: str) -> DataFrame:
-    a = table(spark, d, "customer").where("c_custkey % 7 = 0").select(F.col("c_nationkey").cast("long").alias("k")).distinct()
-    b = table(spark, d, "supplier").where("s_suppkey % 3 = 0").select(F.col("s_nationkey").cast("long").alias("k")).distinct()
-    return upsert.set_difference(a, b)
+    """Nations of all customers, against nations and keys of all suppliers, each as often as it occurs."""
+    s = table(spark, d, "supplier")
+    a = table(spark, d, "customer").select(F.col("c_nationkey").cast("long").alias("k"))
+    return upsert.set_difference(a, s.select(F.col("s_nationkey").cast("long").alias("k")).unionByName(s.select(F.col("s_suppkey").cast("long").alias("k"))))
 
 
 @query("SELECT source, doc_id, CASE WHEN rn > 10 THEN 1 ELSE 0 END AS over_cap FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents)")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -11,3 +14,16 @@ def session(name: str = "tariffmill", **conf: str) -> SparkSession:
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
     return builder.getOrCreate()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share, as ``spark.checkpoint.dir`` names it; a private one only for a ``local[...]`` master that has none."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if found:
+        return found.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    own = os.path.join(tempfile.gettempdir(), f"tariffmill-{spark.sparkContext.applicationId}")
+    os.makedirs(own, exist_ok=True)
+    return "file://" + own
