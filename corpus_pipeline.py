@@ -2,8 +2,9 @@
 
 Toxic documents go, then low-quality ones; of each near-duplicate component one document stays;
 personal data is replaced; what is left is packed into token sequences.  All stages but
-the last return the columns of ``documents``.  An empty table passes through all stages; a
-document with a null text counts as empty text.
+the last return the columns of ``documents``, extra ones too.  An empty table passes through all stages; a
+document with a null text counts as empty text, is linked with nothing and packs as its closing
+id alone.  Of repeated rows of one doc_id all stay or go.  Very long texts count whole.
 """
 
 from __future__ import annotations
@@ -36,8 +37,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    redacted = pii.redact(docs)
+    if "n_chars" not in docs.columns:
+        return redacted
     size = F.length("text").cast(docs.schema["n_chars"].dataType)
-    return pii.redact(docs).withColumn("n_chars", F.coalesce(size, "n_chars"))
+    return redacted.withColumn("n_chars", F.coalesce(size, "n_chars"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
