@@ -2,7 +2,8 @@
 
 ``binaryFile`` gives bytes; one Arrow pass over them, with the standard library's parsers, gives
 one row per document with arrays, so a document is the unit of work and no shuffle is needed.
-What can't be read has an error code in place of contents.
+What can't be read has an error code in place of contents.  Limits keep a document within a task's
+memory; what they cut off is told by ``truncated``, and larger ones can be given (see ``Limits``).
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
+from dataclasses import dataclass, replace
 from html.parser import HTMLParser
 from xml.etree import ElementTree
 
@@ -22,13 +24,52 @@ from pyspark.sql.types import _parse_datatype_string
 
 from .schemas import EXTRACTED
 
-MAX_ROWS, MAX_COLUMNS, MAX_CELL, MAX_SHEETS = 10_000, 100, 10_000, 50
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 VOID = ("br", "img", "input", "hr", "meta", "link", "col", "area", "base", "embed", "source", "track", "wbr")
 
 
-def _tidy(text: str) -> str:
-    return " ".join(text.split())[:MAX_CELL]
+@dataclass
+class Limits:
+    """What is read of one document at most: rows and columns of a table, characters of a cell, sheets or pages, bytes unpacked from an archive."""
+
+    rows: int = 10_000
+    columns: int = 100
+    cell: int = 10_000
+    sheets: int = 50
+    unpacked: int = 100_000_000
+    #: Whether anything was left out; one object serves one document.
+    cut: bool = False
+
+    def first(self, items: list, most: int) -> list:
+        self.cut |= len(items) > most
+        return items[:most]
+
+    def tidy(self, text: str) -> str:
+        text = " ".join(text.split())
+        self.cut |= len(text) > self.cell
+        return text[: self.cell]
+
+
+class TooLarge(RuntimeError):
+    """An archive that unpacks to more than the limit."""
+
+
+class _Archive:
+    """A ZIP archive whose members are read only while their unpacked sizes together keep within the limit."""
+
+    def __init__(self, content: bytes, limits: Limits):
+        self.zip, self.left = zipfile.ZipFile(io.BytesIO(content)), limits.unpacked
+
+    def names(self) -> set[str]:
+        return set(self.zip.namelist())
+
+    def read(self, name: str) -> bytes:
+        with self.zip.open(name) as f:
+            data = f.read(self.left + 1)  # the stated size may lie
+        self.left -= len(data)
+        if self.left < 0:
+            raise TooLarge(name)
+        return data
 
 
 def _number(text: str | None) -> int:
@@ -38,8 +79,9 @@ def _number(text: str | None) -> int:
 class _Page(HTMLParser):
     """Tables as grids, paragraphs and headings as blocks, elements with a code as items; open tags may be left unclosed."""
 
-    def __init__(self) -> None:
+    def __init__(self, limits: Limits) -> None:
         super().__init__(convert_charrefs=True)
+        self.limits = limits
         self.cells: list[dict] = []
         self.blocks: list[dict] = []
         self.items: list[dict] = []
@@ -54,7 +96,7 @@ class _Page(HTMLParser):
 
     def _end_cell(self, table: dict) -> None:
         if cell := table.pop("cell", None):
-            text = _tidy("".join(cell["parts"]))
+            text = self.limits.tidy("".join(cell["parts"]))
             row = table["row"]
             row.append({"table": table, "row_index": table["r"], "col_index": cell["at"], "text": text, "colspan": cell["colspan"], "rowspan": cell["rowspan"], "is_header": cell["head"]})
 
@@ -84,16 +126,20 @@ class _Page(HTMLParser):
             self.tables.append({"done": [], "r": 0, "taken": set(), "heading": self.heading})
         elif tag == "tr" and self.tables:
             self._end_row(self.tables[-1])
-            if self.tables[-1]["r"] < MAX_ROWS:
+            if self.tables[-1]["r"] < self.limits.rows:
                 self.tables[-1]["row"] = []
                 self.tables[-1]["c"] = 0
+            else:
+                self.limits.cut = True
         elif tag in ("td", "th") and self.tables and "row" in self.tables[-1]:
             t = self.tables[-1]
             self._end_cell(t)
             while (t["r"], t["c"]) in t["taken"]:
                 t["c"] += 1
-            if t["c"] < MAX_COLUMNS:
-                across, down = min(_number(a.get("colspan")), MAX_COLUMNS), min(_number(a.get("rowspan")), MAX_ROWS)
+            if t["c"] >= self.limits.columns:
+                self.limits.cut = True
+            else:
+                across, down = min(_number(a.get("colspan")), self.limits.columns), min(_number(a.get("rowspan")), self.limits.rows)
                 t["taken"].update((t["r"] + i, t["c"] + j) for i in range(down) for j in range(across))
                 t["cell"] = {"at": t["c"], "colspan": across, "rowspan": down, "head": tag == "th", "parts": []}
                 t["c"] += across
@@ -110,7 +156,7 @@ class _Page(HTMLParser):
         for k in range(len(self.open_blocks) - 1, -1, -1):
             if self.open_blocks[k]["tag"] == tag:
                 block = self.open_blocks.pop(k)
-                text = _tidy("".join(block["parts"]))
+                text = self.limits.tidy("".join(block["parts"]))
                 if tag in HEADINGS and text:
                     self.heading = text
                 if len(text) >= 5:
@@ -137,7 +183,7 @@ class _Page(HTMLParser):
 
     def _end_item(self) -> None:
         i, self.item = self.item, None
-        text = lambda parts: _tidy("".join(parts))
+        text = lambda parts: self.limits.tidy("".join(parts))
         self.items.append({"item_index": len(self.items), "code": i["code"], "name": text(i["name"]), "price_raw": text(i["price"]) or text(i["any_price"]), "fee_raw": text(i["fee"])})
 
     def handle_data(self, data: str) -> None:
@@ -167,25 +213,25 @@ class _Page(HTMLParser):
             self._end_item()
 
 
-def html(content: bytes) -> dict:
-    page = _Page()
+def html(content: bytes, limits: Limits) -> dict:
+    page = _Page(limits)
     page.feed(content.decode("utf-8", "replace"))
     page.close()
     return {"cells": page.cells, "blocks": page.blocks, "items": page.items}
 
 
-def text(content: bytes) -> dict:
+def text(content: bytes, limits: Limits) -> dict:
     """Lines that aren't blank, stripped."""
-    lines = [x.strip()[:MAX_CELL] for x in content.decode("utf-8").splitlines()]
+    lines = ["".join(limits.first(x.strip(), limits.cell)) for x in content.decode("utf-8").splitlines()]
     return {"blocks": [{"block_index": k, "block_type": "line", "text": x, "page_or_sheet": "text"} for k, x in enumerate(x for x in lines if x)]}
 
 
-def _grid(rows: list[list[str]], table: int, sheet: str, header: bool) -> list[dict]:
-    kept = [r for r in rows if any(x.strip() for x in r)][:MAX_ROWS]
+def _grid(rows: list[list[str]], table: int, sheet: str, header: bool, limits: Limits) -> list[dict]:
+    kept = limits.first([r for r in rows if any(x.strip() for x in r)], limits.rows)
     return [
-        {"table_index": table, "row_index": i, "col_index": j, "text": _tidy(x), "colspan": 1, "rowspan": 1, "is_header": header and i == 0, "row_is_header": header and i == 0, "page_or_sheet": sheet, "heading": None}
+        {"table_index": table, "row_index": i, "col_index": j, "text": limits.tidy(x), "colspan": 1, "rowspan": 1, "is_header": header and i == 0, "row_is_header": header and i == 0, "page_or_sheet": sheet, "heading": None}
         for i, r in enumerate(kept)
-        for j, x in enumerate(r[:MAX_COLUMNS])
+        for j, x in enumerate(limits.first(r, limits.columns))
     ]
 
 
@@ -194,30 +240,30 @@ _S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 
 
-def docx(content: bytes) -> dict:
+def docx(content: bytes, limits: Limits) -> dict:
     """Tables, and paragraphs of three characters or more outside them."""
-    body = ElementTree.fromstring(zipfile.ZipFile(io.BytesIO(content)).read("word/document.xml")).find(f"{_W}body")
+    body = ElementTree.fromstring(_Archive(content, limits).read("word/document.xml")).find(f"{_W}body")
     words = lambda e: "".join(t.text or "" for t in e.iter(f"{_W}t"))
     cells, blocks, n = [], [], 0
     for e in body if body is not None else []:
         if e.tag == f"{_W}tbl":
-            cells += _grid([[words(c) for c in r.iter(f"{_W}tc")] for r in e.iter(f"{_W}tr")], n, "docx", True)
+            cells += _grid([[words(c) for c in r.iter(f"{_W}tc")] for r in e.iter(f"{_W}tr")], n, "docx", True, limits)
             n += 1
-        elif e.tag == f"{_W}p" and len(x := _tidy(words(e))) >= 3:
+        elif e.tag == f"{_W}p" and len(x := limits.tidy(words(e))) >= 3:
             blocks.append({"block_index": len(blocks), "block_type": "p", "text": x, "page_or_sheet": "docx"})
     return {"cells": cells, "blocks": blocks}
 
 
-def xlsx(content: bytes) -> dict:
+def xlsx(content: bytes, limits: Limits) -> dict:
     """All sheets, each a table whose first row is its header; numbers as their text, blank rows dropped."""
-    book = zipfile.ZipFile(io.BytesIO(content))
-    names = set(book.namelist())
+    book = _Archive(content, limits)
+    names = book.names()
     shared = []
     if "xl/sharedStrings.xml" in names:
         shared = ["".join(t.text or "" for t in s.iter(f"{_S}t")) for s in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).iter(f"{_S}si")]
     links = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels"))}
     cells = []
-    for n, sheet in enumerate(list(ElementTree.fromstring(book.read("xl/workbook.xml")).iter(f"{_S}sheet"))[:MAX_SHEETS]):
+    for n, sheet in enumerate(limits.first(list(ElementTree.fromstring(book.read("xl/workbook.xml")).iter(f"{_S}sheet")), limits.sheets)):
         target = links[sheet.get(f"{_R}id")].lstrip("/")
         rows = []
         for r in ElementTree.fromstring(book.read(target if target.startswith("xl/") else f"xl/{target}")).iter(f"{_S}row"):
@@ -236,11 +282,11 @@ def xlsx(content: bytes) -> dict:
                 elif v is not None and v.text is not None:
                     row[at] = shared[int(v.text)] if c.get("t") == "s" else v.text
             rows.append([row.get(k, "") for k in range(max(row, default=-1) + 1)])
-        cells += _grid(rows, n, sheet.get("name") or str(n), True)
+        cells += _grid(rows, n, sheet.get("name") or str(n), True, limits)
     return {"cells": cells}
 
 
-def pdf(content: bytes) -> dict:
+def pdf(content: bytes, limits: Limits) -> dict:
     """PDF needs a library that may be absent; without it documents go to manual review."""
     try:
         import pdfplumber
@@ -248,14 +294,14 @@ def pdf(content: bytes) -> dict:
         return {"error": "UNSUPPORTED_FORMAT"}
     cells, blocks, size = [], [], 0
     with pdfplumber.open(io.BytesIO(content)) as book:
-        for page in book.pages[:MAX_SHEETS]:
+        for page in limits.first(book.pages, limits.sheets):
             name = f"page {page.page_number}"
             for table in page.extract_tables():
-                cells += _grid([[x or "" for x in r] for r in table], len({c["table_index"] for c in cells}), name, True)
+                cells += _grid([[x or "" for x in r] for r in table], len({c["table_index"] for c in cells}), name, True, limits)
             for line in (page.extract_text() or "").splitlines():
                 size += len(line)
                 if line.strip():
-                    blocks.append({"block_index": len(blocks), "block_type": "line", "text": _tidy(line), "page_or_sheet": name})
+                    blocks.append({"block_index": len(blocks), "block_type": "line", "text": limits.tidy(line), "page_or_sheet": name})
     return {"cells": cells, "blocks": blocks} if size >= 50 or cells else {"error": "MANUAL_REVIEW_REQUIRED"}
 
 
@@ -276,20 +322,24 @@ def kind_of(path: str, content: bytes) -> str:
 READERS = {"html": html, "text": text, "docx": docx, "xlsx": xlsx, "pdf": pdf}
 
 
-def extract_one(path: str, content: bytes | None) -> dict:
+def extract_one(path: str, content: bytes | None, limits: Limits | None = None) -> dict:
     """A row of EXTRACTED."""
+    limits = replace(limits or Limits(), cut=False)
     content = content or b""
     kind = kind_of(path, content)
-    out = {"doc_id": path, "format": kind, "error": None, "cells": [], "blocks": [], "items": []}
+    out = {"doc_id": path, "format": kind, "error": None, "truncated": False, "cells": [], "blocks": [], "items": []}
     if kind not in READERS:
         return out | {"error": "UNSUPPORTED_FORMAT"}
     try:
-        return out | READERS[kind](content)
+        found = READERS[kind](content, limits)
+        return out | found | {"truncated": limits.cut}
+    except TooLarge:
+        return out | {"error": "ZIP_BOMB_DETECTED"}
     except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, UnicodeDecodeError, RuntimeError) as e:
         return out | {"error": "PASSWORD_PROTECTED" if "password" in str(e) else "MALFORMED_DOCUMENT"}
 
 
-def extract(documents: DataFrame, doc_id: str = "path", content: str = "content") -> DataFrame:
+def extract(documents: DataFrame, doc_id: str = "path", content: str = "content", limits: Limits | None = None) -> DataFrame:
     """Documents (id, bytes or text) as rows of EXTRACTED."""
     schema = to_arrow_schema(_parse_datatype_string(EXTRACTED))
 
@@ -297,13 +347,13 @@ def extract(documents: DataFrame, doc_id: str = "path", content: str = "content"
         for batch in batches:
             for at in range(0, batch.num_rows, 32):  # a few documents' cells at a time
                 part = batch.slice(at, 32)
-                yield pa.RecordBatch.from_pylist([extract_one(*row) for row in zip(part.column(0).to_pylist(), part.column(1).to_pylist())], schema)
+                yield pa.RecordBatch.from_pylist([extract_one(*row, limits) for row in zip(part.column(0).to_pylist(), part.column(1).to_pylist())], schema)
 
     return documents.select(F.col(doc_id).cast("string").alias("doc_id"), F.col(content).cast("binary").alias("content")).mapInArrow(run, EXTRACTED)
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    return extract(spark.read.format("binaryFile").load(path))
+def read_documents(spark: SparkSession, path: str, limits: Limits | None = None) -> DataFrame:
+    return extract(spark.read.format("binaryFile").load(path), limits=limits)
 
 
 def cells(extracted: DataFrame) -> DataFrame:
@@ -319,14 +369,14 @@ def items(extracted: DataFrame) -> DataFrame:
 
 
 def metadata(extracted: DataFrame) -> DataFrame:
-    """Per document its format, error, and numbers of tables, rows, blocks and items."""
+    """Per document its format, error, whether limits cut anything off, and numbers of tables, rows, blocks and items."""
     tables = F.array_distinct(F.transform("cells", lambda c: c["table_index"]))
     rows = F.array_distinct(F.transform("cells", lambda c: F.struct(c["table_index"], c["row_index"])))
-    return extracted.select("doc_id", "format", "error", F.size(tables).alias("table_count"), F.size(rows).alias("row_count"), F.size("blocks").alias("text_block_count"), F.size("items").alias("item_count"))
+    return extracted.select("doc_id", "format", "error", "truncated", F.size(tables).alias("table_count"), F.size(rows).alias("row_count"), F.size("blocks").alias("text_block_count"), F.size("items").alias("item_count"))
 
 
 def row_cells(cells_: DataFrame) -> DataFrame:
-    """Rows of tables as arrays of texts in column order; a row has at most MAX_COLUMNS cells."""
+    """Rows of tables as arrays of texts in column order; a row has at most ``Limits.columns`` cells."""
     packed = F.transform(F.array_sort(F.collect_list(F.struct("col_index", "text"))), lambda x: x["text"])
     return cells_.groupBy("doc_id", "table_index", "row_index").agg(F.bool_or("is_header").alias("is_header"), F.first("heading", ignorenulls=True).alias("heading"), packed.alias("cells"))
 
@@ -337,7 +387,7 @@ def read_catalog_workbook(spark: SparkSession, path: str, sheet: str | None, cat
     chosen = F.coalesce(F.max(F.when(F.col("page_or_sheet") == sheet, F.col("table_index"))).over(_by_doc()) if sheet else F.lit(None).cast("int"), F.lit(0))
     own = all_cells.withColumn("_want", chosen).where("table_index = _want")
     head = own.where("row_is_header").select("doc_id", "col_index", F.trim("text").alias("role")).where(F.col("role").isin(category, name))
-    body = own.where("not row_is_header").join(F.broadcast(head), ["doc_id", "col_index"])
+    body = own.where("not row_is_header").join(head, ["doc_id", "col_index"])
     wide = body.groupBy("doc_id", "row_index").agg(F.max(F.when(F.col("role") == category, F.trim("text"))).alias("category"), F.max(F.when(F.col("role") == name, F.trim("text"))).alias("name"))
     return wide.where("coalesce(name, '') <> '' and not startswith(name, '#')").select("category", "name")
 

@@ -13,4 +13,4 @@ PROFILE = "profile_id string, profile_version string, source_id string, approved
 CELL = "table_index int, row_index int, col_index int, text string, colspan int, rowspan int, is_header boolean, row_is_header boolean, page_or_sheet string, heading string"
 BLOCK = "block_index int, block_type string, text string, page_or_sheet string"
 ITEM = "item_index int, code string, name string, price_raw string, fee_raw string"
-EXTRACTED = f"doc_id string, format string, error string, cells array<struct<{CELL}>>, blocks array<struct<{BLOCK}>>, items array<struct<{ITEM}>>"
+EXTRACTED = f"doc_id string, format string, error string, truncated boolean, cells array<struct<{CELL}>>, blocks array<struct<{BLOCK}>>, items array<struct<{ITEM}>>"
