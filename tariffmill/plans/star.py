@@ -110,6 +110,12 @@ def categories(star: Star) -> DataFrame:
     return star.services.groupBy("category").agg(F.count_distinct(F.when(F.col("service_active"), F.col("service_id"))).alias("service_count"))
 
 
+def category_counts(categories_: DataFrame, services: DataFrame) -> DataFrame:
+    """Each row of a category table (category) with its number of active services, 0 for an empty one."""
+    counted = services.where("service_active").groupBy("category").agg(F.count("service_id").alias("service_count"))
+    return categories_.join(counted, "category", "left").na.fill(0, ["service_count"])
+
+
 def cities(star: Star) -> DataFrame:
     """Cities with their numbers of branches and of clinics that have an available price."""
     priced = star.prices.where("is_available").select("branch_id").distinct().withColumn("priced", F.lit(True))
@@ -117,13 +123,16 @@ def cities(star: Star) -> DataFrame:
 
 
 def clinics(star: Star, city: str | None = None, category: str | None = None) -> DataFrame:
-    """Clinics with numbers of branches and services and the latest date; each side is counted before it is joined, so nothing fans out."""
+    """Clinics with numbers of branches and services and the latest date; each side is counted before it is joined, so nothing fans out.
+
+    A city is meant exactly here, whatever its case: aliases are not resolved.
+    """
     chosen = star.clinics.where("clinic_active")
     services = star.prices
     if city or category:
         rows = star.joined()
         if city:
-            rows = rows.where(city_is(city))
+            rows = rows.where(F.lower("city") == city.lower())
         if category:
             rows = rows.where(F.col("category") == category)
         chosen = chosen.join(rows.select("clinic_id").distinct(), "clinic_id", "left_semi")
@@ -156,6 +165,17 @@ def history_page(history: DataFrame, page: int, size: int, since: Column | None
     return rows.withColumn("_n", n).withColumn("has_more", F.max("_n").over(Window.partitionBy()) > size).where(F.col("_n") <= size).drop("_n")
 
 
+def with_names(page: DataFrame, star: Star) -> DataFrame:
+    """Rows of history with the names of their service, clinic and branch; rows of a page are few when they are joined."""
+    return page.join(star.services.select("service_id", "service_name", "category"), "service_id").join(star.clinics.select("clinic_id", "clinic_name"), "clinic_id").join(star.branches.select("branch_id", "city"), "branch_id")
+
+
+def branches_of(branches: DataFrame, clinic_id: int | None = None) -> DataFrame:
+    """Branches, those of one clinic if asked, the default one first, then by id."""
+    rows = branches if clinic_id is None else branches.where(F.col("clinic_id") == clinic_id)
+    return rows.orderBy(F.desc_nulls_last("is_default"), "branch_id")
+
+
 def history_stats(changes: DataFrame) -> DataFrame:
     """Changes, observations, first and last time, and prices, in one pass over filtered rows."""
     return changes.agg(

@@ -182,6 +182,28 @@ def clinics_list(spark: SparkSession, d: str) -> DataFrame:
     return money(S.clinics(star(spark, d), category="Brand#12").drop("clinic_active"))
 
 
+@query(f"WITH {CUR}, agg AS (SELECT clinic_id, count(DISTINCT service_id) AS service_count, count(DISTINCT clinic_id) AS branch_count, max(observed_at) AS last_updated FROM cur GROUP BY 1) SELECT s_suppkey AS clinic_id, s_name AS clinic_name, service_count, branch_count, CAST(last_updated AS VARCHAR) AS last_updated FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN agg ON clinic_id = s_suppkey WHERE lower(n_name) = 'nation_3'")
+def clinics_in_city(spark: SparkSession, d: str) -> DataFrame:
+    """The clinic list of one city, meant exactly: cities whose names begin alike stay out."""
+    return money(S.clinics(star(spark, d), city="Nation_3").drop("clinic_active"))
+
+
+@query("SELECT category, count(p_partkey) AS service_count FROM (SELECT p_brand AS category FROM part UNION SELECT p_type FROM part) LEFT JOIN part ON p_brand = category GROUP BY 1")
+def category_counts(spark: SparkSession, d: str) -> DataFrame:
+    """A category table of all brands and types, of which types hold no service."""
+    p = table(spark, d, "part")
+    listed = p.select(F.col("p_brand").alias("category")).union(p.select("p_type")).distinct()
+    return S.category_counts(listed, star(spark, d).services)
+
+
+@query("SELECT s_suppkey AS branch_id, s_nationkey AS clinic_id, CASE WHEN s_suppkey % 9 = 0 THEN 1 ELSE 0 END AS is_default, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey % 9 = 0 DESC, s_suppkey) AS place FROM supplier")
+def branches_in_order(spark: SparkSession, d: str) -> DataFrame:
+    """Branches of each clinic with their place, default ones first."""
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("branch_id"), F.col("s_nationkey").alias("clinic_id"), (F.col("s_suppkey") % 9 == 0).alias("is_default"))
+    placed = S.branches_of(s).withColumn("place", F.row_number().over(Window.partitionBy("clinic_id").orderBy(F.desc("is_default"), "branch_id")))
+    return money(placed)
+
+
 @query(f"WITH {CUR} SELECT service_id, p_name AS service_name, p_brand AS category, currency, CAST(price AS DOUBLE) AS price FROM cur JOIN part ON p_partkey = service_id WHERE clinic_id = 5")
 def clinic_detail(spark: SparkSession, d: str) -> DataFrame:
     return money(S.clinic_detail(star(spark, d), 5).select("service_id", "service_name", "category", "currency", "price"))
@@ -238,6 +260,13 @@ def history_page(spark: SparkSession, d: str) -> DataFrame:
     return money(page.select("batch_id", F.col("row_index").cast("int").alias("row_index"), "clinic_id", "service_id", "observed_at", "has_more", rules.is_historical(F.col("observed_at").cast("timestamp"), now().cast("timestamp")).alias("is_historical")))
 
 
+@query(HISTORY + " SELECT batch_id, row_index, page.clinic_id, page.service_id, p_name AS service_name, p_brand AS category, s_name AS clinic_name, n_name AS city, status FROM page JOIN part ON p_partkey = service_id JOIN supplier ON s_suppkey = clinic_id JOIN nation ON n_nationkey = s_nationkey WHERE rn <= 50")
+def history_with_names(spark: SparkSession, d: str) -> DataFrame:
+    changes = state.history(state.with_change(observations(spark, d), ORDER))
+    page = S.with_names(S.history_page(changes, 1, 50, since=F.date_sub(now(), 120)), star(spark, d))
+    return page.select("batch_id", F.col("row_index").cast("long").alias("row_index"), "clinic_id", "service_id", "service_name", "category", "clinic_name", "city", "status")
+
+
 @query(f"WITH {CHANGES} SELECT count(*) FILTER (status <> 'unchanged') AS change_count, count(*) AS observation_count, CAST(min(observed_at) AS VARCHAR) AS first_at, CAST(max(observed_at) AS VARCHAR) AS last_at, CAST(min(price) AS DOUBLE) AS min_price, CAST(max(price) AS DOUBLE) AS max_price, {mean_sql('price')} AS average_price FROM changes WHERE clinic_id = 9")
 def history_stats(spark: SparkSession, d: str) -> DataFrame:
     rows = observations(spark, d).where("clinic_id = 9")  # the clinic is part of the key, so the filter can come first
