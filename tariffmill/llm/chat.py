@@ -14,7 +14,8 @@ Defined results: rows without conv_id are left out; a null text is an empty one;
 role speaks as the user ``unknown`` and has no perspective of its own; null turns come last; equal
 turns are ordered by role, then text, and repeated rows are each rendered; a conversation of
 system turns only has no perspective, hence no rows; ``<|`` in texts and names is written ``< |``, so no text
-can forge a mark, and line breaks and spaces in names become ``_``.  Extra columns are ignored.
+can forge a mark, and line breaks and spaces in names become ``_``.  An empty table gives an empty
+one; texts of any length are rendered whole.  Extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -10,7 +10,7 @@ disguised and it lies within no base span of its kind; base spans always stay.
 
 Defined results: null counts as empty, which has no spans; offsets are code points, ends
 exclusive; texts of any length are searched whole in time linear in their length; repeated
-rows give equal spans; extra columns pass through ``redact`` and are ignored by ``find``.
+rows give equal spans; an empty table gives an empty one; extra columns pass through ``redact`` and are ignored by ``find``.
 """
 
 from __future__ import annotations

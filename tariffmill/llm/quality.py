@@ -8,7 +8,7 @@ table entries: log-odds = base + sum of table[bin].
 
 Defined results: null and empty texts have all features 0 and are scored as such; texts of any
 length are used whole; repeated rows score alike; without labels of both classes every score
-is the smoothed share of label 1 (0.5 without any).  Extra columns do not matter.
+is the smoothed share of label 1 (0.5 without any); an empty table gives an empty one.  Extra columns do not matter.
 """
 
 from __future__ import annotations

@@ -13,7 +13,7 @@ then learns weights, from documents reduced to the candidates in each sentence.
 
 Defined results: null or empty texts have no sentence and score 0; whole texts count, whatever
 their length; repeated rows score alike; without labels of both classes there are no features
-and texts score 0.  Extra columns do not matter.
+and texts score 0; an empty table gives an empty one.  Extra columns do not matter.
 """
 
 from __future__ import annotations
