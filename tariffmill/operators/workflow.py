@@ -9,6 +9,18 @@ from ..functions.rules import alert_fires, enrich_action, frequency_hours, jitte
 from ..functions.text import normalize_name
 
 
+#: The messages of review errors.
+REVIEW_ERRORS = {
+    "no_record": "Record not found",
+    "closed": "Record is not reviewable",
+    "no_target": "Target service is required",
+    "target_missing": "Target service not found",
+    "no_synonym": "Synonym is required",
+    "no_name": "Name and category are required",
+    "unknown": "Unknown action",
+}
+
+
 def occurrences(unmatched: DataFrame) -> DataFrame:
     """Queue records by service: count, first and last seen, the latest raw name."""
     return unmatched.groupBy("service_id").agg(F.count("*").alias("occurrence_count"), F.min("seen_at").alias("first_seen_at"), F.max("seen_at").alias("last_seen_at"), F.max_by("raw_name", F.struct("seen_at", "raw_name")).alias("raw_name"))
@@ -43,13 +55,13 @@ def review(queue: DataFrame, actions: DataFrame, catalog: DataFrame) -> DataFram
     blank = lambda x: F.coalesce(F.trim(x), F.lit("")) == ""
     to_target = c("action").isin("approve_to_existing", "approve_with_new_synonym")
     error = (
-        F.when(c("old_status").isNull(), "Record not found")
-        .when(~c("old_status").isin("open", "needs_clarification"), "Record is not reviewable")
-        .when(to_target & c("target_id").isNull(), "Target service is required")
-        .when(to_target & c("_there").isNull(), "Target service not found")
-        .when((c("action") == "approve_with_new_synonym") & blank(c("synonym")), "Synonym is required")
-        .when((c("action") == "create_new_service") & (blank(c("new_name")) | blank(c("new_category"))), "Name and category are required")
-        .when(~F.coalesce(c("action").isin("approve_to_existing", "approve_with_new_synonym", "create_new_service", "reject", "needs_clarification", "ignore"), F.lit(False)), "Unknown action")
+        F.when(c("old_status").isNull(), REVIEW_ERRORS["no_record"])
+        .when(~c("old_status").isin("open", "needs_clarification"), REVIEW_ERRORS["closed"])
+        .when(to_target & c("target_id").isNull(), REVIEW_ERRORS["no_target"])
+        .when(to_target & c("_there").isNull(), REVIEW_ERRORS["target_missing"])
+        .when((c("action") == "approve_with_new_synonym") & blank(c("synonym")), REVIEW_ERRORS["no_synonym"])
+        .when((c("action") == "create_new_service") & (blank(c("new_name")) | blank(c("new_category"))), REVIEW_ERRORS["no_name"])
+        .when(~F.coalesce(c("action").isin("approve_to_existing", "approve_with_new_synonym", "create_new_service", "reject", "needs_clarification", "ignore"), F.lit(False)), REVIEW_ERRORS["unknown"])
     )
     done = F.when(c("action") == "reject", "rejected").when(c("action") == "ignore", "ignored").when(c("action") == "needs_clarification", "needs_clarification").otherwise("approved")
     note = F.coalesce("note", F.when(c("action") == "reject", "Rejected").when(c("action") == "ignore", "Ignored"))
