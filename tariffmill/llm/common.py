@@ -15,13 +15,14 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share, as ``spark.checkpoint.dir`` names it.
 
-    Where that is unset a private folder serves, and only for a ``local`` master:
-    on a cluster a machine-local folder would be invisible to other executors.
+    Where that is unset a private folder serves, and only for a ``local[...]`` master, where driver
+    and tasks are one process: elsewhere a machine-local folder would be invisible to executors.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     own = os.path.join(tempfile.gettempdir(), f"tariffmill-{spark.sparkContext.applicationId}")
     os.makedirs(own, exist_ok=True)
