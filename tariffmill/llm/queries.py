@@ -118,4 +118,29 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rotate(table(spark, sf_dir, "conversations"))
 
 
-ORACLES |= {"op5_chat": CHAT_ORACLE, "op7_topk": oracles.OP7, "op9_minhash": oracles.OP9, "op10_warc": oracles.OP10}
+@query
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from tariffmill.llm.mining import mine
+
+    vectors = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine(vectors.withColumn("label", moved), F.col("id") % 50 == 0).drop("positive_rank")
+
+
+@query
+def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tariffmill.llm.fim import transform
+
+    return transform(table(spark, sf_dir, "documents"), ("n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256"))
+
+
+@query
+def op13_cutting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tariffmill.llm.cutting import pack
+
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 4096, 2)
+
+
+ORACLES |= {"op5_chat": CHAT_ORACLE, "op7_topk": oracles.OP7, "op9_minhash": oracles.OP9, "op10_warc": oracles.OP10, "op11_negatives": oracles.OP11, "op12_fim": oracles.OP12}

@@ -14,7 +14,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Packs of queries that a task takes at most, and queries of a pack.
@@ -25,14 +25,14 @@ BLOCK_ROWS, BLOCK_BYTES, LEAST_ROWS = 65_536, 32 << 20, 1_024
 SLICE = 4_096
 
 
-def usable(embeddings: DataFrame, id_: str, vector: str, zero_counts: bool) -> DataFrame:
-    """(id, v) of rows whose id and vector are there, with all components there and finite; zero and empty vectors only if they count."""
+def usable(embeddings: DataFrame, id_: str, vector: str, zero_counts: bool, **carried: Column) -> DataFrame:
+    """(id, v, and what is carried) of rows whose id and vector are there, with all components there and finite; zero and empty vectors only if they count."""
     v = F.col(vector).cast("array<double>")
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     keep = F.col(id_).isNotNull() & v.isNotNull() & ~F.coalesce(F.exists(v, bad), F.lit(True))
     if not zero_counts:
         keep &= F.exists(v, lambda x: x != 0)
-    return embeddings.where(keep).select(F.col(id_).cast("long").alias("id"), v.alias("v"))
+    return embeddings.where(keep).select(F.col(id_).cast("long").alias("id"), v.alias("v"), *[c.alias(n) for n, c in carried.items()])
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -60,12 +60,11 @@ def block_count(held: DataFrame, row_bytes: int, block_rows: int | None = None)
     return n, max(1, -(-n // most), min(-(-n // LEAST_ROWS), held.sparkSession.sparkContext.defaultParallelism))
 
 
-def search(asked: DataFrame, held: DataFrame, ready: Callable, blocks: int, k: int, descending: bool, score: str, prepare: Callable | None = None) -> DataFrame:
-    """query_id, rank, vec_id, score of the k best per query of ``asked`` (id, ...) among the rows of ``held`` (id, ...).
+def grid(asked: DataFrame, held: DataFrame, ready: Callable, blocks: int, schema: pa.Schema, prepare: Callable | None = None) -> DataFrame:
+    """What every block of ``held`` (id, ...) answers to every pack of ``asked`` (id, ...), as rows of ``schema`` (64-bit integers and doubles).
 
-    ``ready(held_table)`` is called once for a block and gives ``best(asked_table)``, which gives arrays
-    (query id, vec id, score) of the block's best for each query.  ``prepare`` may add columns to a
-    pack of queries.  ``score`` is the scores' SQL type.
+    ``ready(held_table)`` is called once for a block and gives ``best(asked_table)``, which gives one array
+    for each column of the schema.  ``prepare`` may add columns to a pack of queries.
     """
     packs = max(1, -(-asked.count() // QUERY_ROWS))
     groups = -(-packs // GROUP)
@@ -82,18 +81,26 @@ def search(asked: DataFrame, held: DataFrame, ready: Callable, blocks: int, k: i
     sent = asked.withColumn("_pack", F.pmod(F.xxhash64("id", F.lit(5)), F.lit(packs)).cast("int")).groupBy("_pack").applyInArrow(packed, "pack int, rows binary")
     sent = sent.select((F.col("pack") / GROUP).cast("int").alias("g"), "rows", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
     dealt = held.withColumn("b", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(blocks)).cast("int")).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    out_arrow = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64() if score == "double" else pa.int64())])
 
     def both(left: pa.Table, right: pa.Table) -> pa.Table:
         made = []
         if left.num_rows and right.num_rows:
             best = ready(left)
             made = [best(pa.ipc.open_stream(rows).read_all()) for rows in right["rows"].to_pylist()]
-        columns = [np.concatenate([m[c] for m in made]) if made else [] for c in range(3)]
-        return pa.table([pa.array(c, f.type) for c, f in zip(columns, out_arrow)], schema=out_arrow)
+        columns = [np.concatenate([m[c] for m in made]) if made else [] for c in range(len(schema))]
+        return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+    kinds = ", ".join(f"{f.name} {'double' if f.type == pa.float64() else 'long'}" for f in schema)
+    return dealt.groupBy("b", "g").cogroup(sent.groupBy("b", "g")).applyInArrow(both, kinds)
+
 
-    found = dealt.groupBy("b", "g").cogroup(sent.groupBy("b", "g")).applyInArrow(both, f"query_id long, vec_id long, score {score}")
-    return best_rows(found, k, descending)
+def search(asked: DataFrame, held: DataFrame, ready: Callable, blocks: int, k: int, descending: bool, score: str, prepare: Callable | None = None) -> DataFrame:
+    """query_id, rank, vec_id, score of the k best per query of ``asked`` (id, ...) among the rows of ``held`` (id, ...).
+
+    See ``grid``: the arrays are query id, vec id and score of a block's best for each query; ``score`` is the scores' SQL type.
+    """
+    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64() if score == "double" else pa.int64())])
+    return best_rows(grid(asked, held, ready, blocks, schema, prepare), k, descending)
 
 
 def best_rows(found: DataFrame, k: int, descending: bool) -> DataFrame:
