@@ -37,7 +37,7 @@ from .packing import Pattern, _runs
 from .words import encoder
 
 #: Relative excess of the linear program's value over its bound at which it counts as solved, and how often the rest is solved again.
-GAP, PASSES = 1e-3, 3
+GAP, PASSES = 1e-3, 5
 #: Texts with stretches to be read again, up to which they are broadcast.
 FEW = 100_000
 

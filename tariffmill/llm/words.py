@@ -8,34 +8,27 @@ one look-up for each and one join; unknown ones go to the library together.
 
 from __future__ import annotations
 
+import re
 import string
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from tokenizers import Tokenizer
 
 #: Stretches of a generation (a worker remembers two), and bytes of the longest one that it keeps.
 CACHE, LONGEST = 250_000, 64
 #: Bytes of texts whose stretches are looked up together.
-GROUP = 1 << 20
+GROUP = 4 << 20
+#: Unknown words that go to the library as one text.
+TOGETHER = 1024
 BLANKS = bytes.maketrans(b"\t\n\r", b"   ")
 LOWER = bytes.maketrans(b"\t\n\r" + string.ascii_uppercase.encode(), b"   " + string.ascii_lowercase.encode())
-#: What ends a piece after a letter or digit.  Not the apostrophe, nor what added tokens' strings hold.
-TAIL = bytes(set(string.punctuation.encode()) - set(b"'<|>"))
-
-
-def parts(word: bytes) -> tuple[bytes, bytes]:
-    """A stretch without its closing punctuation, and that, if a piece surely ends between them."""
-    core = word.rstrip(TAIL)
-    if not core or len(core) == len(word):
-        return word, b""
-    last = core[-1:]
-    if last >= b"\x80":  # Latin letters up to U+024F have two bytes
-        last = core[-2:] if b"\xc3" <= core[-2:-1] <= b"\xc9" else b""
-        return (core, word[len(core) :]) if last and last.decode().lower()[-1].isalpha() else (word, b"")
-    return (core, word[len(core) :]) if last.isalnum() else (word, b"")
+#: Before the punctuation that ends a stretch after a digit or a letter up to U+024F, where a piece surely ends; without the
+#: apostrophe and what added tokens' strings hold, and not after the multiplication and division signs or the capital I with a dot.
+TAIL = re.compile(rb"[MARKS](?:(?<=[a-z0-9].)|(?<=[\xc3-\xc8][\x80-\xbf].)(?<!\xc3[\x97\xb7].)(?<!\xc4\xb0.))[MARKS]*(?= |$)".replace(b"MARKS", rb"!\"#$%&()*+,./:;=?@\[\\\]^_`{}~-"))
 
 
 class Words:
@@ -45,51 +38,51 @@ class Words:
         self.library.no_padding()
         self.known: dict[bytes, bytes] = {b"": b""}
         self.older: dict[bytes, bytes] = {}
+        suffix = self.library.model.end_of_word_suffix
+        size = self.library.get_vocab_size(with_added_tokens=True)
+        # which ids close a piece, for models that mark it
+        self.closes = np.array([bool(suffix) and (self.library.id_to_token(i) or "").endswith(suffix) for i in range(size)])
 
-    def _ids(self, words: list[bytes]) -> Iterator[bytes]:
+    def _alone(self, words: list[bytes]) -> Iterator[bytes]:
         """By the library, as little-endian 32-bit integers."""
         return (array("I", e.ids).tobytes() for e in self.library.encode_batch_fast([w.decode() for w in words], add_special_tokens=False))
 
+    def _ids(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """By the library.  Words of letters are one piece each, so many go as one text and are told apart by the ids that close a piece."""
+        letters = [w for w in words if w.isalpha() or (w.decode().isalpha() and max(w) <= 0xC8)] if self.closes.any() else []
+        out = {}
+        groups = [letters[at : at + TOGETHER] for at in range(0, len(letters), TOGETHER)]
+        for group, coded in zip(groups, self._alone([b" ".join(g) for g in groups])):
+            ends = 4 * (np.flatnonzero(self.closes[np.frombuffer(coded, "<u4")]) + 1)
+            if len(ends) == len(group):
+                ends = ends.tolist()
+                out |= {w: coded[i:j] for w, i, j in zip(group, [0, *ends], ends)}
+        rest = [w for w in words if w not in out]
+        return out | dict(zip(rest, self._alone(rest)))
+
     def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
         """Makes these known, but for those too long to be remembered, which are returned with their ids."""
         if len(self.known) > CACHE:
             self.known, self.older = {b"": b""}, self.known
-        known, older, split, new = self.known, self.older, {}, []
-        for w in words:
-            if w not in known:
-                if w in older:
-                    known[w] = older[w]
-                elif len(w) <= LONGEST and (p := parts(w))[1]:
-                    split[w] = p
-                else:
-                    new.append(w)
-        for p in split.values():
-            for w in p:
-                if w not in known:
-                    if w in older:
-                        known[w] = older[w]
-                    else:
-                        known[w] = b""
-                        new.append(w)
-        long = {}
-        for w, ids in zip(new, self._ids(new)):
-            if len(w) <= LONGEST:
-                known[w] = ids
+        known, older, new = self.known, self.older, []
+        for w in words.difference(known):
+            if w in older:
+                known[w] = older[w]
             else:
-                long[w] = ids
-        for w, (core, tail) in split.items():
-            known[w] = known[core] + known[tail]
-        return long
+                new.append(w)
+        made = self._ids(new)
+        known |= {w: ids for w, ids in made.items() if len(w) <= LONGEST}
+        return {w: ids for w, ids in made.items() if len(w) > LONGEST}
 
     def encode_batch(self, texts: pa.Array) -> Iterator[bytes]:
         """For each text its ids, nulls as empty."""
         held: list[list[bytes]] = []
         size = 0
-        for text in texts:
-            coded = (text.as_py() or "").encode()
+        for text in texts.cast(pa.large_binary()):
+            coded = text.as_py() or b""
             # marks can make another letter of a capital than of a small one, and added tokens' strings are told by case
             plain = b"\xcc" in coded or b"\xcd" in coded or b"<|" in coded
-            held.append(coded.translate(BLANKS if plain else LOWER).split(b" "))
+            held.append((coded.translate(BLANKS) if plain else TAIL.sub(rb" \g<0>", coded.translate(LOWER))).split(b" "))
             size += len(coded)
             if size > GROUP:
                 yield from self._coded(held)
