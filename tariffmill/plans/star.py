@@ -11,13 +11,14 @@ shuffled with skew handling when it isn't.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rules import age_days, freshness, half_even_mean
 from ..functions.text import expand_query, normalize_city, normalize_name, normalize_text, plain_text, resolve_city
+from ..operators import textindex
 
 
 @dataclass(frozen=True)
@@ -26,6 +27,9 @@ class Star:
     services: DataFrame
     clinics: DataFrame
     branches: DataFrame
+    #: Postings (gram, id) of services' names, canonical names and categories, and of clinics' names, if they are stored (see ``operators.textindex``).
+    service_grams: DataFrame | None = None
+    clinic_grams: DataFrame | None = None
 
     def joined(self) -> DataFrame:
         """All prices with their dimensions; filters on any column are pushed to its own table."""
@@ -35,17 +39,45 @@ class Star:
         return self.joined().where("service_active and clinic_active and branch_active and is_available")
 
 
-def name_matches(q: str, wildcards: bool = False) -> Column:
-    """Whether service, canonical or category name contains the query or a term that stands for it, or the clinic's name the query itself."""
-    has = (lambda c, t: F.lower(c).like(f"%{t}%")) if wildcards else (lambda c, t: F.lower(c).contains(t))
-    out = has(F.col("clinic_name"), q.strip().lower())
+def _has(wildcards: bool, c: Column, term: str) -> Column:
+    return c.like(f"%{term}%") if wildcards else c.contains(term)
+
+
+def service_matches(q: str, wildcards: bool = False) -> Column:
+    """Whether service, canonical or category name contains the query or a term that stands for it."""
+    out = F.lit(False)
     for term in expand_query(q):
-        for c in (F.col("service_name"), F.col("canonical_name"), F.col("category")):
-            out = out | has(c, term)
-        out = out | (normalize_name("service_name").like(f"%{term}%") if wildcards else normalize_name("service_name").contains(term))
+        for c in (F.lower("service_name"), F.lower("canonical_name"), F.lower("category"), normalize_name("service_name")):
+            out = out | _has(wildcards, c, term)
     return out
 
 
+def clinic_matches(q: str, wildcards: bool = False) -> Column:
+    """Whether the clinic's name contains the query itself."""
+    return _has(wildcards, F.lower("clinic_name"), q.strip().lower())
+
+
+def name_matches(q: str, wildcards: bool = False) -> Column:
+    return clinic_matches(q, wildcards) | service_matches(q, wildcards)
+
+
+def _matching(star: Star, q: str) -> DataFrame:
+    """Active prices whose service or clinic matches.
+
+    Names are looked at once for each service and clinic, not for each price.  With postings only the candidates are looked
+    at, and prices are reached from the services and the clinics that match, each by its own join.
+    """
+    if star.service_grams is None or star.clinic_grams is None:
+        told = replace(star, services=star.services.withColumn("_service", service_matches(q)), clinics=star.clinics.withColumn("_clinic", clinic_matches(q)))
+        return told.active().where("_service or _clinic").drop("_service", "_clinic")
+    asked = textindex.candidates(star.service_grams, *(expand_query(q))).withColumnRenamed("id", "service_id")
+    services = star.services.join(asked, "service_id", "left_semi").where(service_matches(q))
+    clinics = star.clinics.join(textindex.candidates(star.clinic_grams, q.strip()).withColumnRenamed("id", "clinic_id"), "clinic_id", "left_semi").where(clinic_matches(q))
+    by_service = replace(star, services=services).active()
+    by_clinic = replace(star, clinics=clinics, prices=star.prices.join(services.select("service_id"), "service_id", "left_anti")).active()
+    return by_service.unionByName(by_clinic.select(*by_service.columns))
+
+
 def city_is(city: str) -> Column:
     """Equality with a known city, both sides normalised; else a substring of the city's name."""
     known = resolve_city(city)
@@ -54,13 +86,12 @@ def city_is(city: str) -> Column:
 
 def filtered(star: Star, q: str | None = None, city: str | None = None, category: str | None = None, low: float | None = None, high: float | None = None, service_id: int | None = None, canonical: str | None = None) -> DataFrame:
     """Active prices that fit: service_id before canonical name before query text, and all other filters given."""
-    rows = star.active()
     if service_id is not None:
-        rows = rows.where(F.col("service_id") == service_id)
+        rows = star.active().where(F.col("service_id") == service_id)
     elif canonical is not None:
-        rows = rows.where(F.col("canonical_name") == canonical)
-    elif q:
-        rows = rows.where(name_matches(q))
+        rows = star.active().where(F.col("canonical_name") == canonical)
+    else:
+        rows = _matching(star, q) if q else star.active()
     if city:
         rows = rows.where(city_is(city))
     if category:

@@ -349,15 +349,33 @@ def relink_services(spark: SparkSession, d: str) -> DataFrame:
     return match.relink(services, catalog(spark, d))
 
 
-@query()
+def ratio_sql(a: str, b: str) -> str:
+    """CTEs ``ratio`` (a, b, similarity) for all pairs of two sets of short names: the longest common run, then what is left of it and right of it, again and again."""
+    return f"""pairs AS (SELECT x.n AS a, y.n AS b FROM ({a}) x, ({b}) y),
+hit AS (SELECT a, b, i, j FROM pairs, unnest(range(1, length(a) + 1)) t(i), unnest(range(1, length(b) + 1)) u(j) WHERE substr(a, i, 1) = substr(b, j, 1)),
+runs AS (SELECT a, b, i, j, max(i) OVER (PARTITION BY a, b, i - j, island) - i + 1 AS k FROM (SELECT *, i - row_number() OVER (PARTITION BY a, b, i - j ORDER BY i) AS island FROM hit)),
+part_ AS (SELECT a, b, CAST(1 AS BIGINT) AS al, CAST(length(a) + 1 AS BIGINT) AS ah, CAST(1 AS BIGINT) AS bl, CAST(length(b) + 1 AS BIGINT) AS bh, CAST(0 AS BIGINT) AS m FROM pairs
+  UNION ALL SELECT a, b, CASE s WHEN 0 THEN al ELSE best.k - best.i END, CASE s WHEN 0 THEN -best.i ELSE ah END, CASE s WHEN 0 THEN bl ELSE best.k - best.j END, CASE s WHEN 0 THEN -best.j ELSE bh END, CASE s WHEN 0 THEN best.k ELSE 0 END
+  FROM (SELECT p.a, p.b, al, ah, bl, bh, max(struct_pack(k := least(k, ah - i, bh - j), i := -i, j := -j)) AS best FROM part_ p JOIN runs r ON p.a = r.a AND p.b = r.b AND i >= al AND i < ah AND j >= bl AND j < bh GROUP BY ALL), (VALUES (0), (1)) side(s)),
+ratio AS (SELECT a, b, 2.0 * CAST(sum(m) AS DOUBLE) / (length(a) + length(b)) AS similarity FROM part_ GROUP BY a, b)"""
+
+
+@query(f"""WITH RECURSIVE {CATALOG_SQL}, {ratio_sql("SELECT DISTINCT lower(p_name) || ' s' AS n FROM part", "SELECT DISTINCT lower(p_name) AS n FROM part")},
+best AS (SELECT a, id, similarity, CAST(row_number() OVER (PARTITION BY a ORDER BY similarity DESC, id) AS INTEGER) AS rank FROM ratio JOIN catalog ON b = lower(name) WHERE similarity >= 0.85)
+SELECT p_partkey AS item_id, id, similarity, rank FROM part JOIN best ON a = lower(p_name) || ' s' WHERE rank <= 5""")
 def fuzzy_candidates(spark: SparkSession, d: str) -> DataFrame:
     items = table(spark, d, "part").select(F.col("p_partkey").alias("item_id"), F.concat("p_name", F.lit(" s")).alias("name"))
     return match.fuzzy_candidates(items, catalog(spark, d), 0.85)
 
 
-@query()
+@query(MATCH.replace("WITH ", "WITH RECURSIVE ", 1) + f""", {ratio_sql("SELECT DISTINCT key AS n FROM items", "SELECT DISTINCT lower(name) AS n FROM catalog")},
+exact AS (SELECT lower(name) AS key, min(id) AS id, arg_min(name, id) AS name FROM catalog GROUP BY 1),
+near AS (SELECT a, id, name, similarity FROM ratio JOIN catalog ON b = lower(name) WHERE similarity >= 0.9 QUALIFY row_number() OVER (PARTITION BY a ORDER BY similarity DESC, id) = 1)
+SELECT item_id, CASE WHEN e.id IS NOT NULL THEN 'exact_matched' WHEN n.id IS NOT NULL THEN 'fuzzy_matched' ELSE 'unmatched' END AS match_type, coalesce(e.id, n.id, -1) AS normalized_id, coalesce(e.name, n.name, '') AS service_name,
+  CASE WHEN e.id IS NOT NULL THEN 1.0 ELSE coalesce(n.similarity, 0.0) END AS confidence, '' AS qualifiers FROM items i LEFT JOIN exact e ON e.key = i.key LEFT JOIN near n ON n.a = i.key""")
 def match_cascade(spark: SparkSession, d: str) -> DataFrame:
-    return match.match_service(catalog_items(spark, d), catalog(spark, d), 0.9)
+    told = match.match_service(catalog_items(spark, d), catalog(spark, d), 0.9)
+    return told.select("item_id", "match_type", F.coalesce("normalized_id", F.lit(-1)).alias("normalized_id"), F.coalesce("service_name", F.lit("")).alias("service_name"), "confidence", F.array_join("quals", ",").alias("qualifiers"))
 
 
 @query("SELECT l_partkey AS service_id, count(*) AS occurrence_count, CAST(min(CAST(l_shipdate AS DATE)) AS VARCHAR) AS first_seen_at, CAST(max(CAST(l_shipdate AS DATE)) AS VARCHAR) AS last_seen_at FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 25")
@@ -579,7 +597,7 @@ def import_twice(spark: SparkSession, d: str) -> DataFrame:
     logs = {"observations": "status", "history": "change_type", "rejects": "code", "raw_rows": "validation_status", "batches": "status"}
     counts = [lake.log(t).groupBy("version", F.col(c).alias("status")).agg(F.count("*").alias("n")).select(F.lit(t).alias("table"), "version", "status", "n") for t, c in logs.items()]
     for t in ("clinics", "branches", "services", "categories", "sources", "current"):
-        counts.append(lake.state(t, ingest.TABLES[t][0]).agg(F.count("*").alias("n")).select(F.lit(t).alias("table"), F.lit(lake.version()).cast("long").alias("version"), F.lit("").alias("status"), "n"))
+        counts.append(ingest.stored(lake, t).agg(F.count("*").alias("n")).select(F.lit(t).alias("table"), F.lit(lake.version()).cast("long").alias("version"), F.lit("").alias("status"), "n"))
     out = counts[0]
     for c in counts[1:]:
         out = out.unionByName(c)
