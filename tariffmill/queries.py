@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ from .functions import text as X
 from .functions import vocab
 from .operators import match, state, upsert, validate, workflow
 from .operators.lake import Lake
-from .plans import ingest
+from .plans import ingest, quality
 from .plans import star as S
 from .session import shared_dir
 from .sources import documents
@@ -200,8 +201,8 @@ def category_counts(spark: SparkSession, d: str) -> DataFrame:
 def branches_in_order(spark: SparkSession, d: str) -> DataFrame:
     """Branches of each clinic with their place, default ones first."""
     s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("branch_id"), F.col("s_nationkey").alias("clinic_id"), (F.col("s_suppkey") % 9 == 0).alias("is_default"))
-    placed = S.branches_of(s).withColumn("place", F.row_number().over(Window.partitionBy("clinic_id").orderBy(F.desc("is_default"), "branch_id")))
-    return money(placed)
+    ordered = S.branches_of(s).withColumn("at", F.monotonically_increasing_id())  # grows along the order of the rows
+    return money(ordered.withColumn("place", F.row_number().over(Window.partitionBy("clinic_id").orderBy("at"))).drop("at"))
 
 
 @query(f"WITH {CUR} SELECT service_id, p_name AS service_name, p_brand AS category, currency, CAST(price AS DOUBLE) AS price FROM cur JOIN part ON p_partkey = service_id WHERE clinic_id = 5")
@@ -275,8 +276,11 @@ def history_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT l_orderkey AS batch_id, count(*) FILTER (l_linestatus = 'O') AS good, count(*) FILTER (l_linestatus <> 'O') AS bad, CASE WHEN count(*) FILTER (l_linestatus <> 'O') = 0 THEN 'success' WHEN count(*) FILTER (l_linestatus = 'O') > 0 THEN 'partial_success' ELSE 'failed' END AS status FROM lineitem GROUP BY 1")
 def batch_status(spark: SparkSession, d: str) -> DataFrame:
-    counted = observations(spark, d).groupBy("batch_id").agg(F.count_if("is_available").alias("good"), F.count_if(~F.col("is_available")).alias("bad"))
-    return counted.withColumn("status", rules.batch_status(F.col("good"), F.col("bad")))
+    """Line items that are open count as imported, the others as rejected."""
+    o = observations(spark, d)
+    log = state.batch_log(state.with_change(o.where("is_available"), ORDER), o.where("not is_available"))
+    good = F.col("created_count") + F.col("updated_count") + F.col("unchanged_count")
+    return log.select("batch_id", good.alias("good"), F.col("error_count").alias("bad"), "status")
 
 
 @query("WITH s AS (SELECT s_suppkey AS id, s_name AS name, s_acctbal AS balance FROM supplier), n AS (SELECT s_suppkey + 50 AS id, s_name || '!' AS name, CASE WHEN s_suppkey % 2 = 0 THEN s_acctbal END AS balance FROM supplier) SELECT coalesce(s.id, n.id) AS id, CASE WHEN n.id IS NOT NULL THEN n.name ELSE s.name END AS name, coalesce(CASE WHEN n.id IS NOT NULL THEN n.balance ELSE s.balance END, -1) AS balance, CASE WHEN s.id IS NULL THEN 'inserted' WHEN n.id IS NULL THEN 'kept' ELSE 'updated' END AS action FROM s FULL JOIN n ON s.id = n.id")
@@ -604,6 +608,72 @@ def import_twice(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+MODEL_ROWS = """WITH r AS (SELECT *, CAST(p_retailprice AS DECIMAL(12,2)) AS price, length(p_name) % 2 = 0 AS known, CAST(replace(p_brand, 'Brand#', '') AS INTEGER) % 3 AS src, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS i FROM part),
+c AS (SELECT *, lag(price) OVER w AS before, row_number() OVER (PARTITION BY p_brand, p_name, p_type ORDER BY i DESC) AS back FROM r WINDOW w AS (PARTITION BY p_brand, p_name, p_type ORDER BY i)),
+s AS (SELECT p_name, p_type, any_value(known) AS known, min(p_partkey) AS id, count(*) AS n FROM r GROUP BY 1, 2)"""
+
+
+def part_payloads(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Each brand as one clinic's payload of its parts: the rows, the roots (with one invalid root for each region) and a catalogue, in which names of odd length go by another name."""
+    p, no = table(spark, d, "part"), F.lit(None).cast("string")
+    source = F.concat(F.lit("source "), (F.replace("p_brand", F.lit("Brand#"), F.lit("")).cast("int") % 3).cast("string"))
+    clinic = F.struct(F.col("p_brand").alias("external_id"), F.concat(F.lit("Clinic "), "p_brand").alias("name"), F.lit("city").alias("city"), no.alias("address"))
+    branch = F.struct(no.alias("external_id"), F.lit("Default branch").alias("name"), F.lit("city").alias("city"), no.alias("address"))
+    place = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey"))
+    rows = p.select(
+        F.col("p_brand").alias("batch_id"), place.alias("row_index"), source.alias("source"), clinic.alias("clinic"), branch.alias("branch"), no.alias("external_id"), F.col("p_name").alias("name"), F.col("p_type").alias("category"), no.alias("description"),
+        F.col("p_retailprice").cast("string").alias("price"), F.lit("kzt").alias("currency"), F.lit("2001-10-20").alias("updated_at"), F.lit("https://a.example/p").alias("source_url"), F.lit(None).cast("timestamp").alias("parsed_at"), F.lit(None).cast("long").alias("raw_source_row_id"),
+        no.alias("raw_item"), F.lit(None).cast("int").alias("duration_minutes"), F.lit(None).cast("boolean").alias("is_available"),
+    ).select(*ROW)
+    told = [no.alias("robots_policy_notes"), F.lit(5).alias("crawl_delay_seconds"), F.struct(F.lit("2001-10-20 00:00:00").cast("timestamp").alias("captured_at")).alias("raw_snapshot")]
+    good = p.groupBy("p_brand").agg(F.min(source).alias("source")).select(F.col("p_brand").alias("source_batch_id"), "source", F.lit("site").alias("source_type"), F.lit("https://a.example").alias("source_url"), F.col("p_brand").alias("path"), *told, F.array().cast("array<string>").alias("root_errors"))
+    bad = table(spark, d, "region").select(F.concat(F.lit("bad "), "r_name").alias("source_batch_id"), F.col("r_name").alias("source"), no.alias("source_type"), no.alias("source_url"), F.col("r_name").alias("path"), *told, F.array(F.lit("clinic"), F.lit("services")).alias("root_errors"))
+    named = F.when(F.length("p_name") % 2 == 0, F.col("p_name")).otherwise(F.concat("p_name", F.lit(" plus")))
+    listed = p.groupBy(F.col("p_type").alias("category"), named.alias("name")).agg(F.min("p_partkey").alias("id")).withColumn("aliases", F.array().cast("array<string>"))
+    return rows, good.unionByName(bad), listed
+
+
+@query(MODEL_ROWS + """ SELECT 'price' AS kind, 'Clinic ' || p_brand AS name, p_name || '/' || p_type AS detail, CAST(price AS DOUBLE) AS n FROM c WHERE back = 1
+UNION ALL SELECT 'queue', p_name, p_type, n FROM s WHERE NOT known UNION ALL SELECT 'service', p_name || '/' || p_type, CASE WHEN known THEN 'matched' ELSE 'unmatched' END, CASE WHEN known THEN id ELSE -1 END FROM s
+UNION ALL SELECT 'source', 'source ' || src, 'site', 5 FROM r GROUP BY src UNION ALL SELECT 'snapshot', 'source ' || min(src), p_brand, 1 FROM r GROUP BY p_brand UNION ALL SELECT 'quarantine', r_name, 'bad ' || r_name, 2 FROM region
+UNION ALL SELECT 'batch', p_brand, 'success', count(*) FILTER (before IS NULL) FROM c GROUP BY p_brand UNION ALL SELECT 'batch', 'bad ' || r_name, 'failed', 0 FROM region
+UNION ALL SELECT 'history', p_brand, CASE WHEN before IS NULL THEN 'created' ELSE 'updated' END, count(*) FROM c WHERE before IS NULL OR before <> price GROUP BY ALL""")
+def import_model(spark: SparkSession, d: str) -> DataFrame:
+    """What an import makes of several categories, sources and clinics with a catalogue and payload roots: prices by name, matches, queue, sources, snapshots, quarantine, batches, history."""
+    rows, payloads, listed = part_payloads(spark, d)
+    lake = Lake(spark, f"{shared_dir(spark)}/lake-{uuid.uuid4().hex}")
+    ingest.import_batch(rows, lake, listed, "one", payloads)
+    c, star_ = F.col, ingest.star_of(lake)
+    services = ingest.stored(lake, "services").join(ingest.stored(lake, "categories").select("category_id", c("name").alias("category")), "category_id")
+    told = {
+        "price": (star_.joined(), "clinic_name", F.concat("service_name", F.lit("/"), "category"), "price"),
+        "queue": (ingest.stored(lake, "queue"), "raw_name", c("raw_category"), "occurrence_count"),
+        "service": (services.withColumns({"name": F.concat("name", F.lit("/"), "category"), "id": F.coalesce("normalized_id", F.lit(-1))}), "name", c("match_status"), "id"),
+        "source": (ingest.stored(lake, "sources"), "source", c("type"), "crawl_delay_seconds"),
+        "snapshot": (lake.log("snapshots"), "source", c("batch_id"), "version"),
+        "quarantine": (lake.log("quarantine").withColumn("n", F.size("root_errors")), "source", c("batch_id"), "n"),
+        "batch": (lake.log("batches"), "batch_id", c("status"), "created_count"),
+        "history": (lake.log("history").groupBy("batch_id", "change_type").agg(F.count("*").alias("n")), "batch_id", c("change_type"), "n"),
+    }
+    parts = [df.select(F.lit(kind).alias("kind"), c(name).alias("name"), detail.alias("detail"), c(n).cast("double").alias("n")) for kind, (df, name, detail, n) in told.items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+@query(MODEL_ROWS + """, f AS (SELECT count(*) FILTER (back = 1) AS current, count(*) AS seen, count(*) FILTER (before IS NULL OR before <> price) AS changed, count(DISTINCT src) AS sources, count(DISTINCT p_brand) AS brands FROM c), k AS (SELECT count(*) AS services, count(*) FILTER (NOT known) AS missed FROM s),
+checks AS (SELECT unnest([('source_count', sources, 3, NULL), ('service_price_count', current, 15, NULL), ('normalized_catalog_count', services, 50, NULL), ('parser_run_count', 1, 3, NULL), ('raw_snapshot_count', brands, 3, NULL), ('raw_row_count', seen, 15, NULL), ('price_history_count', changed, 15, NULL), ('price_observation_count', seen, 15, NULL), ('deduplication', services, 15, NULL),
+  ('missing_source_url', 0, NULL, 0), ('missing_parsed_at', current, NULL, 0), ('raw_row_integrity', seen, seen, seen), ('unmatched_count', missed, NULL, NULL), ('freshness_distribution', current, NULL, NULL)]) AS t FROM f, k)
+SELECT t[1] AS "check", CASE WHEN coalesce(t[2] >= t[3], true) AND coalesce(t[2] <= t[4], true) THEN 1 ELSE 0 END AS passed, CAST(t[2] AS BIGINT) AS actual, concat_ws(' and ', '>= ' || t[3], '<= ' || t[4]) AS expected FROM checks""")
+def dq_of_import(spark: SparkSession, d: str) -> DataFrame:
+    """All 14 checks of an imported data set, from what the import has counted while it wrote."""
+    rows, payloads, listed = part_payloads(spark, d)
+    lake = Lake(spark, f"{shared_dir(spark)}/lake-{uuid.uuid4().hex}")
+    ingest.import_batch(rows, lake, listed, "one", payloads)
+    return money(quality.report(spark, lake, listed.count(), date.fromisoformat(NOW)))
+
+
 # -- workflows
 
 
@@ -611,11 +681,11 @@ def import_twice(spark: SparkSession, d: str) -> DataFrame:
 def alerts_eval(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "customer")
     alerts = c.select(F.col("c_custkey").alias("alert_id"), F.element_at(F.array(F.lit("below"), F.lit("above"), F.lit("changed")), (F.col("c_custkey") % 3 + 1).cast("int")).alias("kind"), (F.col("c_acctbal") * 10).cast("decimal(14,2)").alias("threshold"), (F.col("c_custkey") % 500).alias("normalized_service_id"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_custkey") % 100).alias("clinic_id"), F.lit(None).cast("long").alias("branch_id"), F.lit(True).alias("is_active"))
-    prices = state.latest(observations(spark, d), ORDER).select((F.col("service_id") * 1000 + F.col("clinic_id")).alias("price_id"), F.col("service_id").alias("normalized_service_id"), "clinic_id", "branch_id", "price", "currency").where("currency = 'N'")
+    prices = state.latest(observations(spark, d), ORDER).select(F.expr("(service_id * 100000 + clinic_id) * 4 + instr('ANR', currency)").alias("price_id"), F.col("service_id").alias("normalized_service_id"), "clinic_id", "branch_id", "price", "currency")
     return money(workflow.evaluate_alerts(alerts, prices).select("alert_id", "kind", F.coalesce("price", F.lit(-1)).cast("double").alias("price"), "fires"))
 
 
-ORACLES["alerts_eval"] = f"""WITH {CUR}, prices AS (SELECT service_id * 1000 + clinic_id AS price_id, * FROM cur WHERE currency = 'N'),
+ORACLES["alerts_eval"] = f"""WITH {CUR}, prices AS (SELECT (service_id * 100000 + clinic_id) * 4 + instr('ANR', currency) AS price_id, * FROM cur),
 alerts AS (SELECT c_custkey AS alert_id, CASE c_custkey % 3 WHEN 0 THEN 'below' WHEN 1 THEN 'above' ELSE 'changed' END AS kind, CAST(c_acctbal * 10 AS DECIMAL(14,2)) AS threshold, c_custkey % 500 AS sid, CASE WHEN c_custkey % 2 = 0 THEN c_custkey % 100 END AS cid FROM customer),
 found AS (SELECT alert_id, kind, threshold, arg_min(price, price_id) AS price FROM alerts LEFT JOIN prices ON service_id = sid AND (cid IS NULL OR clinic_id = cid) GROUP BY 1, 2, 3)
 SELECT alert_id, kind, coalesce(CAST(price AS DOUBLE), -1) AS price, CASE WHEN price IS NULL THEN 0 WHEN kind = 'below' AND price < threshold THEN 1 WHEN kind = 'above' AND price > threshold THEN 1 WHEN kind = 'changed' THEN 1 ELSE 0 END AS fires FROM found"""
