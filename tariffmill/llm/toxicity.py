@@ -5,7 +5,9 @@ base plus the weights of the features it contains: lower-case words and their fi
 bytes.  Fitting takes a document as the noisy-or of its sentences, 1 - prod(1 - p), so its label
 alone trains the sentences and a high score comes with the sentences that cause it.  The base is
 a leak that any sentence has; scoring divides it out, 1 - prod(min(1, (1 - p) / (1 - p0))), so
-sentences without weight add nothing, however many there are.
+sentences without weight add nothing, however many there are.  With ``unseen`` a text in which no feature speaks keeps a small
+chance of a toxic sentence that none tells, which grows with its sentences but never beyond ``UNSEEN``, far below the threshold:
+it ranks these texts and decides nothing.
 
 Fitting: candidate features are those with the clearest difference in document frequency over
 a bounded labelled sample (counted by the executors); gradient ascent on the noisy-or likelihood
@@ -30,6 +32,8 @@ from .blocks import ODD, Block, in_blocks
 from .labelled import class_weights
 
 THRESHOLD = 0.3
+#: The chance that a text of very many sentences holds one that no feature tells, and the sentences at which it is half of that: scores below it are ranked by it.
+UNSEEN, HALF = 0.01, 50
 CUTS = (None, 3, 4, 5, 6, 7, 8)
 _TRIM = np.isin(np.arange(256), np.frombuffer(b".,;:!?\"'()[]{}*#$%&|-", np.uint8))
 _STOP = np.isin(np.arange(256), np.frombuffer(b".!?\n", np.uint8))
@@ -87,10 +91,14 @@ class Model:
         odds = self.base + np.bincount(number, self.word_weights(block), len(owner))
         return owner, np.searchsorted(number, np.arange(len(owner))), (1 / (1 + np.exp(-odds)) if len(self.keys) else np.zeros(len(owner)))
 
-    def score(self, block: Block) -> np.ndarray:
+    def score(self, block: Block, unseen: bool = False) -> np.ndarray:
         owner, _, p = self.sentences(block)
         leak = np.log1p(-1 / (1 + np.exp(-self.base)))
-        return 1 - np.exp(np.bincount(owner, np.minimum(np.log1p(-np.minimum(p, 1 - 1e-12)) - leak, 0), block.texts))
+        told = 1 - np.exp(np.bincount(owner, np.minimum(np.log1p(-np.minimum(p, 1 - 1e-12)) - leak, 0), block.texts))
+        if not (unseen and len(self.keys)):
+            return told
+        n = np.bincount(owner, minlength=block.texts)
+        return np.maximum(told, UNSEEN * n / (n + HALF))
 
 
 def _count_features(docs: DataFrame) -> DataFrame:
@@ -193,14 +201,14 @@ def train(docs: DataFrame, sample: DataFrame, most_features: int = 4096, least_d
     return fit(rows, keys, weights=weights)
 
 
-def score(docs: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
+def score(docs: DataFrame, model: Model, key: str = "doc_id", unseen: bool = False) -> DataFrame:
     """``key``, score (0 to 1) for every row; narrow, one pass over the texts."""
     rows = docs.select(key, "text")
     kind = rows.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, block in in_blocks(batches, 1, lower=True):
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(model.score(block))], [key, "score"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(model.score(block, unseen))], [key, "score"])
 
     return rows.mapInArrow(run, f"`{key}` {kind}, score double")
 
