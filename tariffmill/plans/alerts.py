@@ -40,7 +40,7 @@ def errors(alerts: DataFrame) -> DataFrame:
     return alerts.select("alert_id", error.alias("error")).where("error is not null")
 
 
-def _published(lake: Lake, run_id: str, work: Callable[[Run], None]) -> int:
+def published(lake: Lake, run_id: str, work: Callable[[Run], None]) -> int:
     """Do the work as this run, again if another run comes between; nothing if the id was published before."""
     for turn in range(RETRIES + 1):
         run = lake.begin(run_id)
@@ -67,7 +67,7 @@ def create(lake: Lake, alerts: DataFrame, now: Column, run_id: str | None = None
         told = new.select("alert_id", "kind", F.col("threshold").cast("decimal(12,2)").alias("threshold"), *[F.col(c).cast("long").alias(c) for c in ("normalized_service_id", "clinic_id", "branch_id")])
         run.put("alerts", *TABLE, told.withColumns({"is_active": F.lit(True), "created_at": now.cast("timestamp"), **{c: F.lit(None).cast(t) for c, t in none.items()}}))
 
-    return _published(lake, run_id or uuid.uuid4().hex, work)
+    return published(lake, run_id or uuid.uuid4().hex, work)
 
 
 def deactivate(lake: Lake, ids: DataFrame, run_id: str | None = None) -> int:
@@ -78,7 +78,7 @@ def deactivate(lake: Lake, ids: DataFrame, run_id: str | None = None) -> int:
         found = run.old("alerts", *TABLE).join(ids.select("alert_id").distinct(), "alert_id", "left_semi")
         run.put("alerts", *TABLE, found.withColumn("is_active", F.lit(False)))
 
-    return _published(lake, run_id or uuid.uuid4().hex, work)
+    return published(lake, run_id or uuid.uuid4().hex, work)
 
 
 def prices_of(lake: Lake, head: dict, services: DataFrame | None = None) -> DataFrame:
@@ -112,5 +112,5 @@ def evaluate(lake: Lake, now: Column, full: bool = False) -> int:
         run.put("alerts", *TABLE, made.withColumns(fresh))
         run.facts["alerts_evaluated"] = run.head["version"] + 1 - run.head["facts"].get("alerts_evaluated", 0)
 
-    version = _published(lake, own, work)
+    version = published(lake, own, work)
     return version
