@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..functions.rules import age_days, freshness, half_even_mean
@@ -106,17 +106,48 @@ def filtered(star: Star, q: str | None = None, city: str | None = None, category
 ID = ("clinic_id", "branch_id", "service_id", "currency")
 
 
+#: Orders by name: columns with whether they fall; ``name`` stands for the column a caller sorts names by.  Unknown names and dates come last.
+SORTS = {"relevance": (("name", False), ("price", False)), "price_asc": (("price", False), ("name", False)), "price_desc": (("price", True), ("name", False)), "updated_desc": (("observed_at", True), ("name", False))}
+
+
+def _keys(sort: str, name: str) -> list[tuple[str, bool]]:
+    """A total order: the asked one, then the name, then the price's identity."""
+    return [(name if c == "name" else c, falls) for c, falls in SORTS[sort]] + [(c, False) for c in ID]
+
+
 def ordered(rows: DataFrame, sort: str, name: str = "service_name") -> DataFrame:
     """Total orders: the asked one, then the name, then the price's identity."""
-    first = {"relevance": [F.asc_nulls_last(name), F.asc("price")], "price_asc": [F.asc("price"), F.asc_nulls_last(name)], "price_desc": [F.desc("price"), F.asc_nulls_last(name)], "updated_desc": [F.desc_nulls_last("observed_at"), F.asc_nulls_last(name)]}
-    return rows.orderBy(*first[sort], *ID)
+    return rows.orderBy(*[F.desc_nulls_last(c) if falls else F.asc_nulls_last(c) for c, falls in _keys(sort, name)])
+
+
+def beyond(keys: list[tuple[str, bool]], cursor: list[object]) -> Column:
+    """Whether a row comes after the one with these values in an order of (column, whether it falls), unknown values last."""
+    out, same = F.lit(False), F.lit(True)
+    for (c, falls), value in zip(keys, cursor):
+        if value is not None:
+            out = out | (same & F.coalesce((F.col(c) < F.lit(value)) if falls else (F.col(c) > F.lit(value)), F.lit(True)))
+        same = same & F.col(c).eqNullSafe(F.lit(value))
+    return out
+
 
+def cursor_of(row: Row, sort: str = "relevance", name: str = "service_name") -> list[object]:
+    """Where the page after this row begins."""
+    return [row[c] for c, _ in _keys(sort, name)]
 
-def search(star: Star, q: str, sort: str = "relevance", limit: int = 20, offset: int = 0, now: Column | None = None, **filters: object) -> DataFrame:
-    """One page of results, with freshness if ``now`` is given."""
-    if not 1 <= limit <= 100 or offset < 0:
-        raise ValueError("limit must be 1 to 100 and offset not negative")
-    page = ordered(filtered(star, q, **filters), sort).offset(offset).limit(limit)
+
+def search(star: Star, q: str, sort: str = "relevance", limit: int = 20, offset: int = 0, now: Column | None = None, after: list[object] | None = None, **filters: object) -> DataFrame:
+    """One page of results, with freshness if ``now`` is given.
+
+    ``after``, the ``cursor_of`` the last row of a page, gives the next page at the cost of a first one: it is a
+    condition on the rows, while an offset sorts all rows up to the page.
+    """
+    if not 1 <= limit <= 100 or offset < 0 or (offset and after is not None):
+        raise ValueError("limit must be 1 to 100, offset not negative, and no offset beside a cursor")
+    rows = filtered(star, q, **filters)
+    if after is not None:
+        rows = rows.where(beyond(_keys(sort, "service_name"), after))
+    page = ordered(rows, sort)
+    page = (page.offset(offset) if offset else page).limit(limit)
     return with_freshness(page, now) if now is not None else page
 
 
@@ -182,15 +213,25 @@ def clinic_detail(star: Star, clinic_id: int) -> DataFrame:
     return star.prices.where(F.col("clinic_id") == clinic_id).join(star.services, "service_id")
 
 
-def history_page(history: DataFrame, page: int, size: int, since: Column | None = None, clinic_id: int | None = None, service_id: int | None = None) -> DataFrame:
-    """One page of history, newest first, with has_more on every row: one row more than asked is looked at."""
+#: The order of history pages, newest first.
+HISTORY_KEYS = [("observed_at", True), ("batch_id", True), ("row_index", True), *((c, False) for c in (*ID, "price"))]
+
+
+def history_page(history: DataFrame, page: int, size: int, since: Column | None = None, clinic_id: int | None = None, service_id: int | None = None, after: Row | None = None) -> DataFrame:
+    """One page of history, newest first, with has_more on every row: one row more than asked is looked at.
+
+    With ``after``, the last row of the page before, no row of earlier pages is sorted, and ``page`` is not used.
+    """
     if since is not None:
         history = history.where(F.col("observed_at") >= since)
     if clinic_id is not None:
         history = history.where(F.col("clinic_id") == clinic_id)
     if service_id is not None:
         history = history.where(F.col("service_id") == service_id)
-    order = [F.desc("observed_at"), F.desc("batch_id"), F.desc("row_index"), *ID, "price"]
+    order = [F.desc_nulls_last(c) if falls else F.asc_nulls_last(c) for c, falls in HISTORY_KEYS]
+    if after is not None:
+        history = history.where(beyond(HISTORY_KEYS, [after[c] for c, _ in HISTORY_KEYS]))
+        page = 1
     rows = history.orderBy(*order).offset((page - 1) * size).limit(size + 1)
     n = F.row_number().over(Window.orderBy(*order))  # over size + 1 rows
     return rows.withColumn("_n", n).withColumn("has_more", F.max("_n").over(Window.partitionBy()) > size).where(F.col("_n") <= size).drop("_n")
