@@ -1,6 +1,6 @@
 """Streaming forms: incremental import, change detection by key, windowed aggregates.
 
-Late data: rows are ordered by event time, and those behind the watermark are dropped in append mode.
+Late data: windows drop rows behind their watermark in append mode; ``ordered_change_stream`` puts rows back in order and reports late ones.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 from pyspark.sql.streaming.query import StreamingQuery
 
 from ..plans.ingest import import_batch
@@ -66,6 +67,77 @@ def change_stream(events: DataFrame) -> DataFrame:
     return events.groupBy("key").transformWithStateInPandas(statefulProcessor=PriceChange(), outputStructType="key string, ts timestamp, seq long, price double, old_price double, status string", outputMode="Append", timeMode="None")
 
 
+def _ms(times: pd.Series) -> pd.Series:
+    return (times - pd.Timestamp(0)) // pd.Timedelta(milliseconds=1)
+
+
+def _rows(frame: pd.DataFrame) -> list[tuple]:
+    return [(t.to_pydatetime(), q, p) for t, q, p in zip(pd.to_datetime(frame["ts"]), frame["seq"].tolist(), frame["price"])]
+
+
+class OrderedPriceChange(StatefulProcessor):
+    """Price changes of a key in event order, whatever the order of arrival.
+
+    Rows are held until event time is ``late`` ahead of them, then leave in order with what was before; rows that come later than
+    that leave at once with the status ``late`` and change nothing.  Spark's own watermark is ``reach`` behind, so
+    that it hands on late rows up to there.
+    """
+
+    def __init__(self, late: int, reach: int) -> None:
+        self.ahead = 1000 * (reach - late)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "price decimal(12,2)")
+        self.held = handle.getListState("held", "ts timestamp, seq long, price decimal(12,2)")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        seen = timerValues.getCurrentWatermarkInMs()
+        for frame in rows:
+            due = _ms(frame["ts"]) - self.ahead
+            late = due <= seen
+            if late.any():
+                yield pd.DataFrame({"key": key[0], "ts": frame["ts"], "seq": frame["seq"], "price": frame["price"], "old_price": None, "status": "late"})[late]
+            new = frame[~late]
+            if len(new):
+                self.held.appendList(_rows(new))
+                for at in sorted(set(due[~late].tolist())):
+                    self.handle.registerTimer(int(at))
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        frame = pd.DataFrame(list(self.held.get()), columns=["ts", "seq", "price"])
+        ready = _ms(pd.to_datetime(frame["ts"])) - self.ahead <= timerValues.getCurrentWatermarkInMs()
+        if not ready.any():  # another timer of the same time has let them go
+            return
+        rest = frame[~ready]
+        if len(rest):
+            self.held.put(_rows(rest))
+        else:
+            self.held.clear()
+        now = frame[ready].sort_values(["ts", "seq"], kind="stable")
+        before = self.last.get()[0] if self.last.exists() else None
+        price = now["price"].tolist()
+        old = pd.Series([before, *price[:-1]], index=now.index, dtype=object)
+        status = old.eq(now["price"]).map({True: "unchanged", False: "updated"}).where(old.notna(), "created")
+        self.last.update((price[-1],))
+        yield pd.DataFrame({"key": key[0], "ts": now["ts"], "seq": now["seq"], "price": now["price"], "old_price": old, "status": status})
+
+    def close(self) -> None:
+        pass
+
+
+def ordered_change_stream(events: DataFrame, late: int = 600, reach: int = 86_400) -> DataFrame:
+    """(key, ts, seq, price) as a stream in event order with old_price and status; needs the RocksDB state store.
+
+    ``late`` and ``reach`` are seconds: rows up to ``late`` behind the newest event take their place, later ones are reported as ``late``, and
+    only those more than ``reach`` behind are dropped (and counted by Spark's own metrics).
+    """
+    if not 0 <= late <= reach:
+        raise ValueError("late must not be negative, and reach not less than it")
+    rows = events.withColumn("price", F.col("price").cast("decimal(12,2)")).withWatermark("ts", f"{reach} seconds")
+    return rows.groupBy("key").transformWithStateInPandas(statefulProcessor=OrderedPriceChange(late, reach), outputStructType="key string, ts timestamp, seq long, price decimal(12,2), old_price decimal(12,2), status string", outputMode="Append", timeMode="EventTime")
+
+
 def once(events: DataFrame, keys: list[str], late: str = "1 hour", time: str = "ts") -> DataFrame:
     """Each key once within the watermark."""
     return events.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
