@@ -467,9 +467,11 @@ def city_alias(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), X.normalize_city(in_turn(FORMS, F.col("c_custkey"))).alias("city"))
 
 
-@query(f"WITH {ALIAS_SQL} SELECT city, string_agg(form, ',' ORDER BY form) AS aliases FROM aliases GROUP BY 1")
+@query(f"WITH {ALIAS_SQL}, named AS (SELECT trim(regexp_replace(replace(lower({in_turn_sql(FORMS, 'c_custkey')}), 'ё', 'е'), '\\s+', ' ', 'g')) AS name FROM customer) SELECT coalesce(city, name) AS city, string_agg(DISTINCT name, ',' ORDER BY name) AS aliases FROM named LEFT JOIN aliases ON form = name GROUP BY 1")
 def city_alias_reverse(spark: SparkSession, d: str) -> DataFrame:
-    aliases = spark.createDataFrame(list(vocab.city_aliases().items()), "form string, city string")
+    """The forms under which customers name each city."""
+    named = table(spark, d, "customer").select(in_turn(FORMS, F.col("c_custkey")).alias("name"))
+    aliases = named.select(X.normalize_text("name").alias("form"), X.normalize_city("name").alias("city"))
     return S.city_aliases_reversed(aliases).select("city", F.array_join("aliases", ",").alias("aliases"))
 
 

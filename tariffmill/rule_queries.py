@@ -16,6 +16,7 @@ from .operators import state, textindex, upsert, validate, workflow
 from .plans import star as S
 from .queries import PAGE, PAGE_COLUMNS, QUEUE_STATUS, SEARCH, STAR, money, query, star, table
 from .session import shared_dir
+from .sources import documents
 from .sources.payloads import read_payloads, service_rows
 
 
@@ -187,3 +188,14 @@ def payload_files(spark: SparkSession, d: str) -> DataFrame:
     made = packed.select(F.to_json(F.struct(F.lit("parts").alias("source"), F.lit("https://a.example/p").alias("source_url"), F.concat_ws("-", "p_brand", F.col("stretch").cast("string")).alias("source_batch_id"), clinic.alias("clinic"), "services")))
     made.write.option("maxRecordsPerFile", 1).text(folder)
     return service_rows(read_payloads(spark, folder)).select("batch_id", "row_index", "external_id", "name", "category", "price", F.col("clinic.name").alias("clinic"), F.col("branch.name").alias("branch"))
+
+
+@query("""WITH l AS (SELECT doc_id, trim(unnest(string_split(coalesce(text, ''), chr(10)))) AS line FROM documents)
+SELECT doc_id, 'text' AS format, '' AS error, 0 AS truncated, count(*) FILTER (line <> '') AS text_block_count, CAST(coalesce(sum(length(line)), 0) AS BIGINT) AS chars FROM l GROUP BY 1""")
+def text_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Texts read as documents of lines, whatever the length of a line, with what their metadata tells."""
+    texts = table(spark, d, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.coalesce("text", F.lit("")).alias("content"))
+    read = documents.extract(texts, limits=documents.Limits(cell=1 << 31))
+    chars = read.select("doc_id", F.aggregate("blocks", F.lit(0).cast("long"), lambda n, b: n + F.length(b["text"])).alias("chars"))
+    told = documents.metadata(read).join(chars, "doc_id")
+    return told.select(F.substring_index("doc_id", ".", 1).cast("long").alias("doc_id"), "format", F.coalesce("error", F.lit("")).alias("error"), F.col("truncated").cast("int").alias("truncated"), F.col("text_block_count").cast("long").alias("text_block_count"), "chars")
