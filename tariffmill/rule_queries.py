@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import rules
@@ -16,7 +16,7 @@ from .operators import state, textindex, upsert, validate, workflow
 from .plans import star as S
 from .queries import PAGE, PAGE_COLUMNS, QUEUE_STATUS, SEARCH, STAR, money, query, star, table
 from .session import shared_dir
-from .sources import documents
+from .sources import documents, profiles
 from .sources.payloads import read_payloads, service_rows
 
 
@@ -199,3 +199,31 @@ def text_documents(spark: SparkSession, d: str) -> DataFrame:
     chars = read.select("doc_id", F.aggregate("blocks", F.lit(0).cast("long"), lambda n, b: n + F.length(b["text"])).alias("chars"))
     told = documents.metadata(read).join(chars, "doc_id")
     return told.select(F.substring_index("doc_id", ".", 1).cast("long").alias("doc_id"), "format", F.coalesce("error", F.lit("")).alias("error"), F.col("truncated").cast("int").alias("truncated"), F.col("text_block_count").cast("long").alias("text_block_count"), "chars")
+
+
+@query(f"""WITH p AS (SELECT *, p_brand || '-' || (p_partkey // {PAYLOAD_PARTS}) AS doc FROM part), n AS (SELECT *, row_number() OVER w AS i, dense_rank() OVER (PARTITION BY doc ORDER BY p_type) AS k FROM p WINDOW w AS (PARTITION BY doc ORDER BY p_type, p_partkey)),
+big AS (SELECT doc FROM p GROUP BY 1 HAVING count(*) + count(DISTINCT p_type) >= 3)
+SELECT doc, i + k AS row_number, CAST(p_partkey AS VARCHAR) AS code, p_name AS name, p_type AS section, CAST(k AS VARCHAR) AS section_number, p_type AS category, p_retailprice AS price, 2 AS duration_days FROM n JOIN big USING (doc)""")
+def price_lists(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as HTML price lists with a section for each type, one for each brand and stretch of keys, read back as price rows."""
+    own = Window.partitionBy("doc")
+    p = table(spark, d, "part").withColumn("doc", F.concat_ws("-", "p_brand", F.floor(F.col("p_partkey") / PAYLOAD_PARTS).cast("string")))
+    first = F.row_number().over(Window.partitionBy("doc", "p_type").orderBy("p_partkey")) == 1
+    p = p.withColumns({"k": F.dense_rank().over(own.orderBy("p_type")), "first": first})
+    row = lambda *cells: F.concat(F.lit("<tr>"), *[F.concat(F.lit("<td>"), c, F.lit("</td>")) for c in cells], F.lit("</tr>"))
+    head = F.when(F.col("first"), row(F.concat(F.col("k").cast("string"), F.lit(". "), "p_type"), F.lit(""), F.lit(""), F.lit(""))).otherwise("")
+    line = F.concat(head, row(F.col("p_partkey").cast("string"), F.col("p_name"), F.lit("2 дня"), F.col("p_retailprice").cast("string")))
+    listed = p.groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_type", "p_partkey", line.alias("line")))), lambda x: x["line"]), "").alias("body"))  # PAYLOAD_PARTS at most
+    titles = F.lit("<table><tr><th>№</th><th>Наименование услуги</th><th>Срок</th><th>Цена</th></tr>")
+    pages = listed.select(F.concat("doc", F.lit(".html")).alias("path"), F.concat(titles, "body", F.lit("</table>")).alias("content"))
+    rows = profiles.price_rows(documents.cells(documents.extract(pages)), profiles.LAYOUTS["section_categories"])
+    return money(rows.select(F.substring_index("doc_id", ".", 1).alias("doc"), "row_number", "code", "name", "section", "section_number", "category", "price", "duration_days"))
+
+
+@query("SELECT p_partkey AS id, i AS row_number, 'A' || p_partkey AS code, p_name AS name, coalesce(CASE WHEN p_size % 4 > 0 THEN p_retailprice END, -1) AS price, CASE WHEN p_size % 4 > 0 THEN '' ELSE 'MISSING_PRICE' END AS error FROM (SELECT *, 1 AS i FROM part)")
+def priced_items(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as items of a catalogue, one for a document; every fourth size has no price."""
+    p = table(spark, d, "part")
+    items = p.select(F.col("p_partkey").cast("string").alias("doc_id"), F.lit(0).alias("item_index"), F.concat(F.lit("A"), "p_partkey").alias("code"), F.col("p_name").alias("name"), F.when(F.col("p_size") % 4 > 0, F.concat(F.col("p_retailprice").cast("string"), F.lit(" тг"))).otherwise("по запросу").alias("price_raw"), F.lit(None).cast("string").alias("fee_raw"))
+    rows = profiles.item_rows(items)
+    return money(rows.select(F.col("doc_id").cast("long").alias("id"), "row_number", "code", "name", F.coalesce(F.col("price").cast("double"), F.lit(-1.0)).alias("price"), F.coalesce("error", F.lit("")).alias("error")))
