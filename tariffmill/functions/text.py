@@ -238,6 +238,40 @@ def map_link(address: Column | str, base: str = "https://maps.example.org/?q=")
     return F.concat(F.lit(base), F.url_encode(_column(address)))
 
 
+#: Signs of currencies, short names of months, and what stands for an unknown value.
+SIGNS = {"KZT": "₸", "RUB": "₽", "USD": "$", "EUR": "€"}
+MONTHS = {
+    "ru": ("янв.", "февр.", "мар.", "апр.", "мая", "июн.", "июл.", "авг.", "сент.", "окт.", "нояб.", "дек."),
+    "en": ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"),
+}
+UNKNOWN = "—"
+
+
+def price_text(value: Column | str, currency: Column | str = "KZT", locale: str = "ru", fallback: str = UNKNOWN) -> Column:
+    """A price in whole units as people read it (half a unit counts up): ``1 450 ₸`` in Russian, ``₸1,450`` in English; text that is no number stands as it is, with its currency.
+
+    ``currency`` is a column, or the code of all prices.
+    """
+    code = F.lit(currency) if isinstance(currency, str) and currency.isupper() else _column(currency)
+    sign = code
+    for name, mark in SIGNS.items():
+        sign = F.when(code == name, mark).otherwise(sign)
+    plain = _column(value)
+    amount = plain.try_cast("decimal(20,6)")
+    grouped = F.format_number(F.round(amount, 0), 0)
+    shown = F.concat(F.replace(grouped, F.lit(","), F.lit("\xa0")), F.lit("\xa0"), sign) if locale == "ru" else F.concat(F.when(F.length(sign) > 1, F.concat(sign, F.lit("\xa0"))).otherwise(sign), grouped)
+    return F.when(plain.isNull(), fallback).when(amount.isNull(), F.concat(plain.cast("string"), F.lit(" "), code)).otherwise(shown)
+
+
+def date_text(value: Column | str, locale: str = "ru", with_time: bool = False, fallback: str = UNKNOWN) -> Column:
+    """A date with a short month: ``5 нояб. 2001 г.`` in Russian, ``Nov 5, 2001`` in English, and the time if asked."""
+    at = _column(value).try_cast("timestamp")
+    month = F.element_at(F.array(*map(F.lit, MONTHS[locale])), F.month(at))
+    day, year, clock = F.dayofmonth(at).cast("string"), F.year(at).cast("string"), F.date_format(at, "HH:mm")
+    shown = F.concat(day, F.lit(" "), month, F.lit(" "), year, F.lit(" г.")) if locale == "ru" else F.concat(month, F.lit(" "), day, F.lit(", "), year)
+    return F.coalesce(F.concat(shown, F.lit(", "), clock) if with_time else shown, F.lit(fallback))
+
+
 def opening_hours(lines: Column) -> Column:
     """The first seven lines joined."""
     return F.array_join(F.slice(lines, 1, 7), "; ")

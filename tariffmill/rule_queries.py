@@ -227,3 +227,11 @@ def priced_items(spark: SparkSession, d: str) -> DataFrame:
     items = p.select(F.col("p_partkey").cast("string").alias("doc_id"), F.lit(0).alias("item_index"), F.concat(F.lit("A"), "p_partkey").alias("code"), F.col("p_name").alias("name"), F.when(F.col("p_size") % 4 > 0, F.concat(F.col("p_retailprice").cast("string"), F.lit(" тг"))).otherwise("по запросу").alias("price_raw"), F.lit(None).cast("string").alias("fee_raw"))
     rows = profiles.item_rows(items)
     return money(rows.select(F.col("doc_id").cast("long").alias("id"), "row_number", "code", "name", F.coalesce(F.col("price").cast("double"), F.lit(-1.0)).alias("price"), F.coalesce("error", F.lit("")).alias("error")))
+
+
+@query("""SELECT o_orderkey AS id, replace(format('{:,}', CAST(round(CAST(o_totalprice AS DECIMAL(18,2)), 0) AS BIGINT)), ',', chr(160)) || chr(160) || '₸' AS price, '₽' || format('{:,}', CAST(round(CAST(o_totalprice AS DECIMAL(18,2)), 0) AS BIGINT)) AS english,
+CAST(day(o_orderdate) AS VARCHAR) || ' ' || (['янв.', 'февр.', 'мар.', 'апр.', 'мая', 'июн.', 'июл.', 'авг.', 'сент.', 'окт.', 'нояб.', 'дек.'])[month(o_orderdate)] || ' ' || CAST(year(o_orderdate) AS VARCHAR) || ' г.' AS day,
+strftime(o_orderdate, '%b %-d, %Y, %H:%M') AS moment FROM orders""")
+def shown_prices(spark: SparkSession, d: str) -> DataFrame:
+    at = F.col("o_orderdate").cast("timestamp")
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), X.price_text("o_totalprice").alias("price"), X.price_text("o_totalprice", "RUB", "en").alias("english"), X.date_text(at).alias("day"), X.date_text(at, "en", True).alias("moment"))
