@@ -31,6 +31,15 @@ LOWER = bytes.maketrans(b"\t\n\r" + string.ascii_uppercase.encode(), b"   " + st
 TAIL = re.compile(rb"[MARKS](?:(?<=[a-z0-9].)|(?<=[\xc3-\xc8][\x80-\xbf].)(?<!\xc3[\x97\xb7].)(?<!\xc4\xb0.))[MARKS]*(?= |$)".replace(b"MARKS", rb"!\"#$%&()*+,./:;=?@\[\\\]^_`{}~-"))
 
 
+def segments(coded: bytes) -> Iterator[bytes]:
+    """A long text in parts of ``GROUP`` bytes or so, cut at blanks."""
+    at = 0
+    while len(coded) - at > GROUP and (cut := coded.find(b" ", at + GROUP)) >= 0:
+        yield coded[at:cut]
+        at = cut + 1
+    yield coded[at:]
+
+
 class Words:
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
@@ -82,7 +91,13 @@ class Words:
             coded = text.as_py() or b""
             # marks can make another letter of a capital than of a small one, and added tokens' strings are told by case
             plain = b"\xcc" in coded or b"\xcd" in coded or b"<|" in coded
-            held.append((coded.translate(BLANKS) if plain else TAIL.sub(rb" \g<0>", coded.translate(LOWER))).split(b" "))
+            coded = coded.translate(BLANKS) if plain else TAIL.sub(rb" \g<0>", coded.translate(LOWER))
+            if len(coded) > 2 * GROUP:  # by itself, a part at a time
+                yield from self._coded(held)
+                held, size = [], 0
+                yield b"".join(ids for part in segments(coded) for ids in self._coded([part.split(b" ")]))
+                continue
+            held.append(coded.split(b" "))
             size += len(coded)
             if size > GROUP:
                 yield from self._coded(held)
