@@ -808,7 +808,7 @@ def session_batch(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def html_text_blocks(spark: SparkSession, d: str) -> DataFrame:
     pages = table(spark, d, "pages").select(F.concat(F.lit("page-"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.col("html").alias("content"))
-    return documents.blocks(documents.extract(pages))
+    return documents.extract(pages).select("doc_id", F.col("truncated").cast("int").alias("truncated"), F.inline("blocks"))  # a reader sees where limits cut
 
 
 @query("SELECT doc_id, CAST(count(*) AS BIGINT) AS lines, CAST(sum(length(line)) AS BIGINT) AS chars FROM (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS line FROM documents) WHERE line <> '' GROUP BY 1")
