@@ -41,6 +41,25 @@ def arrow_rows(spark: SparkSession, most: int) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+@contextmanager
+def measured_broadcasts(spark: SparkSession, most: int = 4 << 20) -> Iterator[None]:
+    """Inside, joins broadcast a side only if its shuffled rows were at most so many bytes, or if it is hinted.
+
+    Planned ahead, joins go by the sizes of files: a few MB of compressed ids become a table of many times that on the driver.
+    """
+    by_files, by_rows = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+    before = {key: spark.conf.get(key, None) for key in (by_files, by_rows)}
+    if str(before[by_files]).startswith("-"):  # the session broadcasts nothing by size
+        most = -1
+    spark.conf.set(by_files, "-1")
+    spark.conf.set(by_rows, str(most))
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 def materialise(df: DataFrame, name: str, rows: int = 2000) -> DataFrame:
     """Write ``df`` as Parquet under the shared folder and read it back.
 

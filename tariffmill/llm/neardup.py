@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blocks import Block, in_blocks, mix
-from .common import drop_tables, materialise
+from .common import drop_tables, materialise, measured_broadcasts
 from .graph import components
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -46,8 +46,8 @@ SMALL = 8
 HELD, STRETCH = 200_000, 2_000_000
 #: How much larger the sizes of one band are than those of the band before.
 BAND = 1.02
-#: Rows of ids, at most, that are broadcast to find candidates' texts; more are joined by shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Rows of ids, at most, that are broadcast to find candidates' texts; more are joined by shuffle.  The driver builds the table.
+BROADCAST_ROWS = 250_000
 #: Rows with whole sets in one batch between the JVM and Python.
 PAIR_ROWS = 200
 
@@ -198,7 +198,7 @@ def _sets(docs: DataFrame, ids: DataFrame, words: int, by_digest: bool = False)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digests, pa.binary()), pa.array(sets, pa.binary())], ["doc", "digest", "shingles"])
 
     few = ids.count() <= BROADCAST_ROWS
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(F.broadcast(ids) if few else ids, "doc", "left_semi")
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(F.broadcast(ids) if few else ids.hint("merge"), "doc", "left_semi")
     return chosen.mapInArrow(run, "doc long, digest binary, shingles binary").select(_node(by_digest, "doc").alias("doc"), "shingles")
 
 
@@ -268,7 +268,15 @@ def _prefix_pairs(heads: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, values: int = 12, rows: int = 3) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept (whether it is its component's smallest doc_id), one row per input row."""
+    """doc_id, n_shingles, component_id and kept (whether it is its component's smallest doc_id), one row per input row.
+
+    What its joins put on the driver does not grow with the documents.
+    """
+    with measured_broadcasts(docs.sparkSession):
+        return _near_duplicates(docs, words, percent, values, rows)
+
+
+def _near_duplicates(docs: DataFrame, words: int, percent: int, values: int, rows: int) -> DataFrame:
     spark = docs.sparkSession
     signed = materialise(signatures(docs, words, values, rows), "signatures")
     whole = signed.where("digest is not null and doc_id is not null")
@@ -329,4 +337,4 @@ def keep_one(docs: DataFrame, **options: int) -> DataFrame:
     """The rows, with all their columns, of each component's smallest doc_id."""
     gone = near_duplicates(docs, **options).where("not kept").select("doc_id").distinct()
     few = gone.count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(gone) if few else gone, docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")
+    return docs.join(F.broadcast(gone) if few else gone.hint("merge"), docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")
