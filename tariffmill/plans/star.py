@@ -192,12 +192,15 @@ def clinics(star: Star, city: str | None = None, category: str | None = None) ->
     chosen = star.clinics.where("clinic_active")
     services = star.prices
     if city or category:
-        rows = star.joined()
-        if city:
-            rows = rows.where(F.lower("city") == city.lower())
+        asked = star
+        if city:  # each filter first meets prices by itself, so that few of them go on to the other joins
+            here = star.branches.where(F.lower("city") == city.lower())
+            asked = replace(asked, branches=here, prices=asked.prices.join(here.select("branch_id"), "branch_id", "left_semi"))
         if category:
-            rows = rows.where(F.col("category") == category)
-        chosen = chosen.join(rows.select("clinic_id").distinct(), "clinic_id", "left_semi")
+            such = star.services.where(F.col("category") == category)
+            asked = replace(asked, services=such, prices=asked.prices.join(such.select("service_id"), "service_id", "left_semi"))
+        chosen = chosen.join(asked.joined().select("clinic_id").distinct(), "clinic_id", "left_semi")
+        services = services.join(chosen.select("clinic_id"), "clinic_id", "left_semi")  # others are not counted
     # two plain counts of distinct pairs, each partly aggregated before it moves, in place of two distinct counts that would multiply every price
     by_service = services.groupBy("clinic_id", "service_id").agg(F.max("observed_at").alias("seen")).groupBy("clinic_id").agg(F.count("service_id").alias("service_count"), F.max("seen").alias("last_updated"))
     by_branch = services.select("clinic_id", "branch_id").distinct().groupBy("clinic_id").agg(F.count("branch_id").alias("branch_count"))
